@@ -56,12 +56,15 @@ def near_places(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame
 def near_rows(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Every pair of a row of ``left`` and a row of ``right`` at most ``radius_m`` apart.
 
-    Both have ``lat`` and ``lon``; their other columns must differ in name. ``metres`` is added.
+    Both have ``lat`` and ``lon``, which aren't in the result. ``metres`` is added; other columns of ``right`` whose names
+    occur in ``left`` too, or are ``metres``, begin with ``right_``.
     """
-    pairs = near_places(left, right, radius_m)
-    with_left = pairs.join(left, ["lat", "lon"]).drop("lat", "lon")
-    other = right.withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
-    return with_left.join(other, ["lat2", "lon2"]).drop("lat2", "lon2")
+    pairs = near_places(left, right, radius_m).withColumnsRenamed({c: "__" + c for c in ("lat", "lon", "lat2", "lon2", "metres")})
+    mine = left.withColumnsRenamed({"lat": "__lat", "lon": "__lon", "metres": "left_metres"})
+    clash = {c: "right_" + c for c in right.columns if c not in ("lat", "lon") and (c in left.columns or c == "metres")}
+    other = right.withColumnsRenamed(clash | {"lat": "__lat2", "lon": "__lon2"})
+    both = pairs.join(mine, ["__lat", "__lon"]).join(other, ["__lat2", "__lon2"])
+    return both.drop("__lat", "__lon", "__lat2", "__lon2").withColumnRenamed("__metres", "metres")
 
 
 def boxes_around(points: DataFrame, boxes: DataFrame, broadcast_boxes: int = BROADCAST_BOXES) -> DataFrame:

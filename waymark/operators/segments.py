@@ -174,7 +174,8 @@ def _automaton(terms: list[str]):
 def split_cells(df: DataFrame, row: str, fields: tuple[Field, ...] = PLAN_FIELDS, min_support: int = MIN_SUPPORT, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``(row, field, pos, item)`` of all values of the cells that hold at least two."""
     spark = df.sparkSession
-    cells = df.select(F.col(row).alias("row_no"), F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"`{f.name}`").cast("string").alias("cell")) for k, f in enumerate(fields)])).alias("c")).select("row_no", "c.f", "c.cell")
+    # Row keys travel as texts, lest pandas makes numbers of whole numbers with nulls.
+    cells = df.select(F.col(row).cast("string").alias("row_no"), F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"`{f.name}`").cast("string").alias("cell")) for k, f in enumerate(fields)])).alias("c")).select("row_no", "c.f", "c.cell")
     cells = cells.filter("cell IS NOT NULL").withColumn("spans", F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)"))
     guided = [k for k, f in enumerate(fields) if f.dictionary]
     terms = learn_terms(cells.filter(F.col("f").isin(guided)).select("cell"), min_support) if guided else None
@@ -188,8 +189,7 @@ def split_cells(df: DataFrame, row: str, fields: tuple[Field, ...] = PLAN_FIELDS
                 for f, cell, spans in zip(batch["f"], batch["cell"], batch["spans"], strict=True):
                     more = [[end + 1 - size, end + 1] for end, size in automaton.iter(cell)] if f in guided else []
                     found.append([list(s) for s in spans] + more)
-                batch["spans"] = found
-                yield batch
+                yield pd.DataFrame({"row_no": batch["row_no"].astype(object), "f": batch["f"], "cell": batch["cell"].astype(object), "spans": found})
 
         cells = cells.mapInPandas(find, cells.schema)
 
@@ -203,7 +203,7 @@ def split_cells(df: DataFrame, row: str, fields: tuple[Field, ...] = PLAN_FIELDS
                         if item:
                             for name, value in zip(out, (row_no, fields[f].name, pos, item), strict=True):
                                 out[name].append(value)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, dtype=object)
 
-    kind = df.schema[row].dataType.simpleString()
-    return cells.mapInPandas(split, f"row_no {kind}, field string, pos int, item string").withColumnRenamed("row_no", row)
+    found = cells.mapInPandas(split, "row_no string, field string, pos int, item string")
+    return found.select(F.col("row_no").cast(df.schema[row].dataType).alias(row), "field", "pos", "item")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import evidence, quality, rank, spatial
+from ..operators import contains, evidence, quality, rank, spatial
 from ..sources.tables import load
 from . import views
 from .registry import Registry
@@ -116,14 +116,11 @@ def enrich_roads(spark, folder):
     return df.select("map_row", "deliveries", "cards", F.when(both, "detailed").when(some, "partial").otherwise("listed").alias("tier"))
 
 
-@query("SELECT c.cand_row, d.doc_id FROM (SELECT cand_row, 林道名 AS name, split_part(取得元, '「', 1) AS m FROM suwa_chino_candidates) c JOIN documents d ON contains(d.text, c.m) AND contains(d.text, c.name) WHERE c.m <> '' AND length(c.name) >= 4")
+@query("SELECT doc_id, municipality, region_name FROM documents JOIN municipality_bounds ON contains(text, municipality)")
 def contains_join(spark, folder):
-    names = load(spark, folder, "suwa_chino_candidates").select("cand_row", F.col("林道名").alias("name"), F.split_part(F.col("取得元"), F.lit("「"), F.lit(1)).alias("m")).filter("m <> '' AND length(name) >= 4")
-    # Documents and names meet by the first four signs of the name that a document holds, so nothing is compared to all.
-    docs = load(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    grams = docs.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, length(text) - 3)), k -> substring(text, k, 4)))")).alias("head"))
-    hits = grams.join(names.withColumn("head", F.left("name", F.lit(4))), "head")
-    return hits.join(docs, "doc_id").filter(F.contains("text", F.col("m")) & F.contains("text", F.col("name"))).select("cand_row", "doc_id")
+    places = load(spark, folder, "municipality_bounds").select("municipality", "region_name")
+    found = contains.terms_in_texts(load(spark, folder, "documents"), "doc_id", "text", places, "municipality")
+    return found.join(places, "municipality").select("doc_id", "municipality", "region_name")
 
 
 @query("SELECT 'blank name' AS rule, CAST(card_row AS VARCHAR) AS key FROM karte WHERE coalesce(trim(name), '') = '' UNION ALL SELECT 'blank exit', CAST(card_row AS VARCHAR) FROM karte WHERE coalesce(trim(exit_or_terminus), '') = ''")

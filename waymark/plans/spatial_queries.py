@@ -91,15 +91,16 @@ def connected_components(spark, folder):
     return _components(spark, folder)
 
 
-@query(_component_sql("""SELECT s.component, s.n, b.brand, s.lat, s.lon, s.members
-FROM (SELECT component, count(*) AS n, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) AS members FROM comp JOIN road ON v = k GROUP BY 1) s
+@query(_component_sql("""SELECT s.component, s.n, b.brand, s.lat_e5, s.lon_e5, s.members
+FROM (SELECT component, count(*) AS n, CAST(round(sum(lat * 1e5)) AS BIGINT) // count(*) AS lat_e5, CAST(round(sum(lon * 1e5)) AS BIGINT) // count(*) AS lon_e5, string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) AS members FROM comp JOIN road ON v = k GROUP BY 1) s
 JOIN (SELECT component, brand, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, min(v), brand) AS r FROM comp JOIN road ON v = k GROUP BY 1, 2) b ON s.component = b.component AND r = 1"""))
 def component_summary(spark, folder):
     rows = _components(spark, folder).join(views.road(spark, folder).select(F.col("k").alias("v"), "brand", "lat", "lon"), "v")
+    centre = lambda c: F.floor(F.round(F.sum(F.col(c) * 1e5)).cast("long") / F.count("*")).alias(c + "_e5")
     brand = rank.mode_first(rows, ["component"], "brand", "v").select("component", "brand")
     members = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v.cast("string")), "/")
-    sums = rows.groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"), members.alias("members"))
-    return sums.join(brand, "component").select("component", "n", "brand", "lat", "lon", "members")
+    sums = rows.groupBy("component").agg(F.count("*").alias("n"), centre("lat"), centre("lon"), members.alias("members"))
+    return sums.join(brand, "component").select("component", "n", "brand", "lat_e5", "lon_e5", "members")
 
 
 def _ring_sql(ring: list[tuple[float, float]], role: str) -> str:
