@@ -181,9 +181,9 @@ def canonical_forms(names: DataFrame) -> DataFrame:
 
 
 def in_one_form(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``canonical``, the consistent form of column ``name``; null where the name is null.
+    """``rows`` with ``canonical`` (set anew if there), the consistent form of column ``name``; null where the name is null.
 
     The forms of names that hold a large share of the rows are broadcast, the others joined by a shuffle.
     """
     forms = canonical_forms(rows.select(F.col(name).alias("name"))).withColumnRenamed("name", name)
-    return join_to_lookup(rows, forms, name, "left")
+    return join_to_lookup(rows.drop("canonical"), forms, name, "left")

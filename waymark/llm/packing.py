@@ -130,11 +130,11 @@ def packed(documents: DataFrame, sizes: DataFrame, key: str = "doc_id", text: st
         raise ValueError(f"between 1 and {MOST_TIERS} capacities are needed")
     capacities, names = [r.capacity_tokens for r in rows], [r["pack"] for r in rows]
     largest = capacities[-1]
-    counted = cut_lineage(with_tokens(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", vocabulary).select("key", "tokens"))
+    # Keys travel as texts, lest pandas makes numbers of whole numbers with nulls.
+    counted = cut_lineage(with_tokens(documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), "text", vocabulary).select("key", "tokens"))
     pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("tokens") / largest).cast("int")))))
     pieces = pieces.withColumn("tokens", F.least(F.lit(largest).cast("long"), F.col("tokens") - (F.col("piece") - 1) * largest))
     shards = max(1, -(-pieces.count() // shard_items))
-    kind = documents.schema[key].dataType.simpleString()
 
     def pack(shard: tuple[int], items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["key", "piece"], kind="stable").reset_index(drop=True)
@@ -144,12 +144,12 @@ def packed(documents: DataFrame, sizes: DataFrame, key: str = "doc_id", text: st
         for tier in set(tiers.tolist()):
             groups[tiers == tier] = step_groups(rooms[tiers == tier])
         out = [(i, names[tier], f"{names[tier]}-{shard[0]}-{k}", f"{names[tier]}-{shard[0]}-{groups[k]}", room) for k, (tier, members, room) in enumerate(packs) for i in members]
-        found = pd.DataFrame(out, columns=["i", "pack", "pack_id", "step_group", "room_left"]).set_index("i").sort_index()
-        return pd.DataFrame({"key": items["key"], "piece": items["piece"], "tokens": items["tokens"], **{c: found[c] for c in found}})
+        found = pd.DataFrame(out, columns=["i", "pack", "pack_id", "step_group", "room_left"], dtype=object).set_index("i").sort_index()
+        return pd.DataFrame({"key": items["key"].astype(object), "piece": items["piece"], "tokens": items["tokens"], **{c: found[c] for c in found}})
 
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
-    done = sharded.groupBy("shard").applyInPandas(pack, f"key {kind}, piece int, tokens long, pack string, pack_id string, step_group string, room_left long")
-    return done.withColumnRenamed("key", key)
+    done = sharded.groupBy("shard").applyInPandas(pack, "key string, piece int, tokens long, pack string, pack_id string, step_group string, room_left long")
+    return done.select(F.col("key").cast(documents.schema[key].dataType).alias(key), "piece", "tokens", "pack", "pack_id", "step_group", "room_left")
 
 
 def pack_report(packs: DataFrame) -> DataFrame:

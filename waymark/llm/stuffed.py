@@ -193,10 +193,10 @@ def shapes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(k, *text_shape(t)) for k, t in zip(batch["key"], batch["text"], strict=True)], columns=["key", "flat", "sizes", "chars", "train"])
+            yield pd.DataFrame([(k, *text_shape(t)) for k, t in zip(batch["key"], batch["text"], strict=True)], columns=["key", "flat", "sizes", "chars", "train"], dtype=object)
 
-    kind = documents.schema[key].dataType.simpleString()
-    return cut_lineage(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key {kind}, {SHAPE}"))
+    # Keys travel as texts, lest pandas makes numbers of whole numbers with nulls.
+    return cut_lineage(documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key string, {SHAPE}"))
 
 
 def _batch(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -276,18 +276,17 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
 
 def odd_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, odd_share)`` of each document."""
-    cut = shapes(documents, key, text)
+    cut, kind = shapes(documents, key, text), documents.schema[key].dataType
     model = fit(cut)
     if model is None:
-        return cut.select(F.col("key").alias(key), F.lit(0.0).alias("odd_share"))
+        return cut.select(F.col("key").cast(kind).alias(key), F.lit(0.0).alias("odd_share"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "odd_share": odd_shares(batch, shared.value)})
+            yield pd.DataFrame({"key": batch["key"].astype(object), "odd_share": odd_shares(batch, shared.value)})
 
-    kind = documents.schema[key].dataType.simpleString()
-    return cut.mapInPandas(score, f"key {kind}, odd_share double").withColumnRenamed("key", key)
+    return cut.mapInPandas(score, "key string, odd_share double").select(F.col("key").cast(kind).alias(key), "odd_share")
 
 
 def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", odd_share: float = ODD_SHARE) -> DataFrame:
