@@ -48,10 +48,12 @@ ORDER = 4
 #: Weight of the lower orders, in occurrences.
 BACKOFF = 5.0
 
-#: A document is prose if so much of it is in sentences.
+#: A document is prose if so much of what isn't rows of data is in sentences.
 PROSE_SHARE = 0.4
 #: Perplexity is abnormal this many times the distance of the 5 % and 75 % quantiles from the median.
 SPREADS = 3.0
+#: and at least this far from it.
+LEAST_REACH = 1.0
 #: How often the model is trained, each time without what the one before flags.
 ROUNDS = 2
 #: Histogram of perplexities for the quantiles.
@@ -106,11 +108,12 @@ def is_sentence(segment: str) -> bool:
 
 def prose_part(parts: list[str]) -> list[str]:
     """Segments to train on: sentences, and rows of data among them, of a text that largely consists of sentences."""
-    whole = [is_sentence(p) for p in parts]
-    if not any(whole) or sum(len(p) for p, w in zip(parts, whole, strict=True) if w) < PROSE_SHARE * sum(map(len, parts)):
+    whole, data = [is_sentence(p) for p in parts], [is_data(p) for p in parts]
+    size = lambda chosen: sum(len(p) for p, c in zip(parts, chosen, strict=True) if c)
+    if not any(whole) or size(whole) < PROSE_SHARE * (size([True] * len(parts)) - size(data)):
         return []
     first, last = whole.index(True), len(whole) - whole[::-1].index(True)
-    return [p for p, w in zip(parts[first:last], whole[first:last], strict=True) if w or is_data(p)]
+    return [p for p, w, d in zip(parts[first:last], whole[first:last], data[first:last], strict=True) if w or d]
 
 
 def is_data(segment: str) -> bool:
@@ -269,7 +272,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
 
         histogram = documents.mapInPandas(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
         at = lambda q: float(histogram["bin"].iloc[int(np.searchsorted(histogram["n"].cumsum(), q * histogram["n"].sum()))] + 0.5) / BINS_PER_UNIT  # noqa: B023, E731
-        reach = SPREADS * (at(0.75) - at(0.05))
+        reach = max(LEAST_REACH, SPREADS * (at(0.75) - at(0.05)))
         model = replace(counts, low=at(0.5) - reach, high=at(0.5) + reach)
     return model
 
