@@ -32,7 +32,9 @@ from .lookalikes import plain, skeleton
 SEPARATORS = r"[|/、,;\n\r\t・]"
 ADDRESS = r"https?://[^\s|、;「『]+"
 #: Everything that formatting adds.
-FORMATTING = r"(?U)[\s\p{P}\p{S}]+"
+FORMATTING = r"(?U)[\s\p{P}\p{S}\p{Cc}]+"
+#: Signs between children, parts and columns of a written structure; no leaf holds them.
+CHILD, PART, COLUMN = "\x1f", "\x1e", "\x1d"
 THOUSANDS = r"(?<=(?<![0-9,])[0-9]{1,3}|(?<![0-9,])[0-9]{1,3},[0-9]{3}),(?=[0-9]{3}(?![0-9]))"
 GENERIC = "林道"
 
@@ -64,7 +66,7 @@ def _parts(text: Column, separators: str) -> Column:
 
 
 def cell_tree(cell: Column, name: bool = False, number: bool = False, blank_list: bool = False, source: bool = False) -> Column:
-    """``array<struct<digest, head, inner>>``: the parts of a cell in the order of their digests."""
+    """``array<struct<digest, form>>``: digest and written structure of each part, in the order of the digests."""
     text = F.lower(skeleton(plain(F.coalesce(cell.cast("string"), F.lit("")))))
     outside = (rf"(?:{SEPARATORS}| +)" if blank_list else SEPARATORS) + r"(?![^(]*\))"
     if name:
@@ -76,17 +78,19 @@ def cell_tree(cell: Column, name: bool = False, number: bool = False, blank_list
     else:
         parts = let(text, lambda t: F.concat(_addresses(t), _parts(F.regexp_replace(t, ADDRESS, "|"), outside)))
 
-    def inner(part: Column) -> Column:
+    def children(part: Column) -> Column:
         groups = F.regexp_extract_all(part, F.lit(r"\(([^()]*)\)"), F.lit(1))
-        return F.sort_array(F.flatten(F.transform(groups, lambda g: F.transform(_parts(g, SEPARATORS), leaf))))
+        leaves = F.flatten(F.transform(groups, lambda g: F.transform(_parts(g, SEPARATORS), leaf)))
+        return F.sort_array(F.transform(leaves, lambda x: F.struct(F.xxhash64(x).alias("digest"), x.alias("form"))))
 
-    def digested(head: Column, children: Column) -> Column:
-        return F.struct(F.xxhash64(head, F.xxhash64(children)).alias("digest"), head.alias("head"), children.alias("inner"))
+    def node(head: Column, inner: Column) -> Column:
+        digest = F.xxhash64(head, F.transform(inner, lambda c: c["digest"]))
+        return F.struct(digest.alias("digest"), F.concat_ws(CHILD, head, F.array_join(F.transform(inner, lambda c: c["form"]), CHILD)).alias("form"))
 
-    def node(part: Column) -> Column:
-        return let(F.struct(leaf(F.regexp_replace(part, r"\([^()]*\)", "")).alias("h"), inner(part).alias("c")), lambda n: digested(n["h"], n["c"]))
+    def part_node(part: Column) -> Column:
+        return let(F.struct(leaf(F.regexp_replace(part, r"\([^()]*\)", "")).alias("h"), children(part).alias("c")), lambda n: node(n["h"], n["c"]))
 
-    return F.sort_array(F.transform(parts, node))
+    return F.sort_array(F.transform(parts, part_node))
 
 
 def _addresses(text: Column) -> Column:
@@ -94,25 +98,28 @@ def _addresses(text: Column) -> Column:
 
 
 def record_trees(df: DataFrame, layout: Layout) -> DataFrame:
-    """``(row, root, tree)`` of each record; ``root`` is the digest of its columns' digests."""
+    """``(row, root, tree)`` of each record: the digest of its columns' digests, and its written structure."""
     trees = [cell_tree(F.col(f"`{c}`"), c in layout.names, c in layout.numbers, c in layout.blank_lists, c in layout.sources).alias(f"c{k}") for k, c in enumerate(layout.columns)]
     wide = df.select(F.col(layout.row).alias("row"), F.struct(*trees).alias("tree"))
-    digests = [F.xxhash64(F.transform(F.col(f"tree.c{k}"), lambda n: n["digest"])) for k in range(len(trees))]
-    return wide.select("row", F.xxhash64(*digests).alias("root"), "tree")
+    cells = [F.col(f"tree.c{k}") for k in range(len(trees))]
+    root = F.xxhash64(*[F.xxhash64(F.transform(c, lambda n: n["digest"])) for c in cells])
+    return wide.select("row", root.alias("root"), F.concat_ws(COLUMN, *[F.array_join(F.transform(c, lambda n: n["form"]), PART) for c in cells]).alias("tree"))
 
 
 def repeated_groups(df: DataFrame, layout: Layout) -> DataFrame:
     """``(row, first)`` of the records that have copies."""
-    trees = cut_lineage(record_trees(df, layout))
-    shared = trees.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    again = join_to_lookup(trees, shared, "root")
+    roots = cut_lineage(record_trees(df, layout).select("row", "root"))
+    shared = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    # Only the records whose root occurs again are written out and compared.
+    rows = join_to_lookup(roots, shared, "root").select(F.col("row").alias(layout.row)).distinct()
+    again = cut_lineage(record_trees(df.join(rows, layout.row, "left_semi"), layout))
     groups = again.groupBy("root", "tree").agg(F.min("row").alias("first"))
     per_root = groups.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("kinds"))
-    marked = join_to_lookup(again, per_root, "root")
-    clear = marked.filter("kinds = 1").select("row", "first")
-    collided = marked.filter("kinds > 1").select("row", F.col("root").alias("r"), F.col("tree").alias("t"))
-    apart = collided.join(groups, (F.col("r") == F.col("root")) & (F.col("t") == F.col("tree"))).select("row", "first")
-    return clear.unionByName(apart)
+    marked = join_to_lookup(again.select("row", "root"), per_root.filter("kinds = 1").select("root", "first"), "root").select("row", "first")
+    # Roots that met by chance: their structures decide.
+    collided = again.join(per_root.filter("kinds > 1").select("root"), "root", "left_semi")
+    apart = collided.join(groups, ["root", "tree"]).select("row", "first")
+    return marked.unionByName(apart)
 
 
 def copies(df: DataFrame, layout: Layout) -> DataFrame:
