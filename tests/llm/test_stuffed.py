@@ -83,13 +83,15 @@ def test_sequence():
     assert s.sequence("道は12kmである。") == [ids["kanji1"], ids["ja:は"], ids["num"], ids["word"], ids["ja:である"], ids["sign:。"]]
     assert s.sequence("The road") == [ids["en:the"], ids["word"]]
     assert s.sequence("https://x.example/a b")[0] == ids["url"]
+    flat, sizes = s.sequences(["道は", "", "12:30 36.1,138.2\n"])
+    assert sizes.tolist() == [2, 0, 4]
+    assert flat.tolist() == [ids["kanji1"], ids["ja:は"], ids["num"], ids["sp"], ids["num"], ids["nl"]]
 
 
 def test_perplexity_prefers_what_was_counted():
-    shape = lambda texts: (np.asarray([t for x in texts for t in s.sequence(x)], dtype=np.int64), np.asarray([len(s.sequence(x)) for x in texts], dtype=np.int64))
     counts = np.zeros(1 << s.SLOT_BITS)
-    s.count_grams(*shape(["道は谷にある。", "川は山にある。"] * 20), counts)
-    usual, odd = s.perplexities(*shape(["森は谷にある。", "谷谷 谷 、谷"]), counts)
+    s.count_grams(*s.sequences(["道は谷にある。", "川は山にある。"] * 20), counts)
+    usual, odd = s.perplexities(*s.sequences(["森は谷にある。", "谷谷 谷 、谷"]), counts)
     assert usual < 0.5 < 2 < odd
 
 
@@ -101,6 +103,6 @@ def test_prose_part():
 
 @pytest.mark.parametrize("text", ["a", "。", "\n", "<" * 500, "あ" * 50_000, "퟿\x00"])
 def test_any_text(text):
-    flat, sizes, chars, train = s.text_shape(text)
+    flat, sizes, chars, train = s.text_shapes([text])[0]
     assert len(sizes) == len(chars) == 4 * len(train)
     assert len(flat) == 2 * np.frombuffer(sizes, dtype=np.int32).sum()

@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,11 +36,10 @@ LONG_RUN = 12
 
 _JA = sorted(set(JA_WORDS.split()), key=lambda w: (-len(w), w))
 _EN = sorted(set(EN_WORDS.split()))
-_PATTERN = re.compile(
-    r"(?P<url>https?://[!-~]+)|(?P<tag><[^<>\n]{1,200}>)|(?P<kanji>[々〇一-鿿豈-﫿]+)|(?P<kata>[ァ-ヺー・]*[ァ-ヺー])"
-    r"|(?P<jaw>" + "|".join(_JA) + r")|(?P<hira>[ぁ-ゖ])|(?P<num>[0-9０-９]+(?:[.,:][0-9]+)*)|(?P<word>[A-Za-zÀ-ɏ]+(?:['’-][A-Za-z]+)*)|(?P<nl>\n)|(?P<tab>\t)|(?P<sp>[ 　 ]+)|(?P<sign>.)",
-    re.S,
-)
+_JA_PATTERN = re.compile("|".join(_JA) + "|.", re.S)
+_ADDRESS, _TAG, _NUMBER = re.compile(r"https?://[!-~]+"), re.compile(r"<[^<>\n]{1,200}>"), re.compile(r"[0-9０-９]+(?:[.,:][0-9]+)*")
+#: Signs that stand for an address, a tag and the end of a segment while a text is cut up.
+_ADDRESS_SIGN, _TAG_SIGN, _END = "\ue000", "\ue001", "\ue002"
 _SIGNS = "。、.,!?！？:：;；()（）「」『』[]【】|/・★-—–~〜>＞<＜≪≫▶→#*+=%&\"'_^●◆■…○"
 BOS, EOS, VOCABULARY = 0, 1, 512
 SLOT_BITS = 20
@@ -48,6 +47,9 @@ ORDER = 4
 #: Weight of the lower orders, in occurrences.
 BACKOFF = 5.0
 
+#: Characters or tokens that are worked on at once.
+CHUNK = 400_000
+
 #: A document is prose if so much of what isn't rows of data is in sentences.
 PROSE_SHARE = 0.4
 #: Perplexity is abnormal this many times the distance of the 5 % and 75 % quantiles from the median.
@@ -71,39 +73,99 @@ def _ids() -> dict[str, int]:
     return {n: k for k, n in enumerate(names)}
 
 
+#: Kinds of signs; of the last ones each is a token of its own.
+KANJI, KATA, HIRA, LATIN, BLANK, END, SINGLE = range(7)
+
+
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code up to the end of the basic plane its kind, and its token if it is one of its own."""
+    ids = _ids()
+    kind, token = np.full(0x10000, SINGLE, dtype=np.uint8), np.full(0x10000, ids["sign"], dtype=np.uint16)
+    for low, high, k in ((0x4E00, 0xA000, KANJI), (0xF900, 0xFB00, KANJI), (0x3005, 0x3008, KANJI), (0x30A1, 0x30FB, KATA), (0x30FC, 0x30FD, KATA), (0x3041, 0x3097, HIRA), (0x41, 0x5B, LATIN), (0x61, 0x7B, LATIN), (0xC0, 0x250, LATIN)):
+        kind[low:high] = k
+    for blank in (0x20, 0xA0, 0x3000):
+        kind[blank] = BLANK
+    kind[ord(_END)] = END
+    for sign, name in ((_ADDRESS_SIGN, "url"), (_TAG_SIGN, "tag"), ("0", "num"), ("\n", "nl"), ("\t", "tab")):
+        token[ord(sign)] = ids[name]
+    for sign in _SIGNS:
+        token[ord(sign)] = ids["sign:" + sign]
+    return kind, token
+
+
 def segments(text: str) -> list[str]:
     """Lines, cut after each Japanese full stop and each sentence-final sign that a blank follows."""
     return [s for s in re.split(r"(?<=\n)|(?<=。)(?!\n)|(?<=[！？](?![！？\n]))|(?<=[^A-Z][.!?] )", text) if s]
 
 
+@lru_cache(maxsize=100_000)
+def _run_tokens(run: str) -> tuple[int, ...]:
+    """Tokens of a run of hiragana or of Latin letters."""
+    ids = _ids()
+    if "ぁ" <= run[0] <= "ゖ":
+        return tuple(ids.get("ja:" + w, ids["hira"]) for w in _JA_PATTERN.findall(run))
+    low = run.lower()
+    return (ids.get("en:" + low) or ids["wordlong" if len(run) > LONG_RUN else "word" if run == low else "WORD" if run.isupper() else "Word"],)
+
+
+def sequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Function words and word classes of the segments, one after another, and how many each has.
+
+    Runs of one kind of sign are found for all segments at once; only runs of hiragana and Latin letters are looked
+    up one by one.
+    """
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    text = "".join(p.replace(_END, "?") + _END for p in parts)
+    if "http" in text:
+        text = _ADDRESS.sub(_ADDRESS_SIGN, text)
+    if "<" in text:
+        text = _TAG.sub(_TAG_SIGN, text)
+    text = _NUMBER.sub("0", text)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    kinds, singles = _kinds()
+    codes = np.minimum(codes, 0xFFFF)
+    kind = kinds[codes]
+    begins = np.ones(len(kind), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] >= END)
+    at = np.flatnonzero(begins)
+    run, length = kind[at], np.diff(np.append(at, len(kind)))
+    ids = _ids()
+    token = singles[codes[at]].astype(np.int64)
+    capped = np.minimum(length, LONG_RUN)
+    token = np.where(run == KANJI, ids["kanji1"] + capped - 1, np.where(run == KATA, ids["kata1"] + capped - 1, np.where(run == BLANK, ids["sp"], token)))
+    count = np.ones(len(run), dtype=np.int64)
+    count[run == END] = 0
+    # A blank between words that go on in ASCII says nothing.
+    following = np.append(codes[at[1:]], 0)
+    before = np.append(END, run[:-1])
+    count[(run == BLANK) & (before == LATIN) & (following < 128)] = 0
+    looked = np.flatnonzero((run == HIRA) | (run == LATIN))
+    found = [_run_tokens(text[a : a + n]) for a, n in zip(at[looked].tolist(), length[looked].tolist(), strict=True)]
+    count[looked] = [len(f) for f in found]
+    flat = np.repeat(token, count)
+    mine = np.zeros(len(run), dtype=bool)
+    mine[looked] = True
+    flat[np.repeat(mine, count)] = [t for f in found for t in f]
+    ends = np.cumsum(count)[run == END]
+    return flat, np.diff(np.append(0, ends))
+
+
 def sequence(segment: str) -> list[int]:
     """Function words and word classes of a segment."""
-    ids, out = _ids(), []
-    for m in _PATTERN.finditer(segment):
-        kind, token = m.lastgroup, m.group()
-        if kind in ("kanji", "kata"):
-            out.append(ids[f"{kind}{min(len(token), LONG_RUN)}"])
-        elif kind == "jaw":
-            out.append(ids["ja:" + token])
-        elif kind == "word":
-            low = token.lower()
-            out.append(ids.get("en:" + low) or ids["wordlong" if len(token) > LONG_RUN else "word" if token == low else "WORD" if token.isupper() else "Word"])
-        elif kind == "sign":
-            out.append(ids.get("sign:" + token, ids["sign"]))
-        elif kind == "sp":
-            if not (out and "A" <= segment[max(0, m.start() - 1)] <= "z" and segment[m.end() : m.end() + 1].isascii()):
-                out.append(ids["sp"])
-        else:
-            out.append(ids[kind])
-    return out
+    return sequences([segment])[0].tolist()
 
 
-_SENTENCE = re.compile(r"。\s*$|[a-z)][.!?]\s*$")
+_JA_PARTICLES = "はがをにでとものへ"
+_EN_END, _EN_WORD = re.compile(r"[a-z)][.!?]\s*$"), re.compile(rf"\b(?:{'|'.join(_EN)})\b")
 
 
 def is_sentence(segment: str) -> bool:
     """Whether a segment ends like a sentence and has at least two function words."""
-    return bool(_SENTENCE.search(segment)) and len(re.findall(r"[はがをにでとものへ]", segment)) + len(re.findall(rf"\b(?:{'|'.join(_EN)})\b", segment)) > 1
+    if segment.rstrip().endswith("。"):
+        return sum(map(segment.count, _JA_PARTICLES)) > 1
+    return bool(_EN_END.search(segment)) and len(_EN_WORD.findall(segment)) > 1
 
 
 def prose_part(parts: list[str]) -> list[str]:
@@ -118,7 +180,7 @@ def prose_part(parts: list[str]) -> list[str]:
 
 def is_data(segment: str) -> bool:
     """Whether a segment is a row of a table or log: with tabs, or mostly digits."""
-    return "\t" in segment or 2 * sum(c.isdigit() for c in segment) > len(segment)
+    return "\t" in segment or 2 * sum(map(segment.count, "0123456789")) > len(segment)
 
 
 def _grams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,23 +197,29 @@ def _grams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.stack([np.roll(ids, fill - k) for k in range(ORDER)]), starts, ids != BOS
 
 
-def _slots(*columns: np.ndarray) -> np.ndarray:
-    """Slot of each n-gram; n-grams of different orders share the table under different salts."""
-    h = np.full(columns[0].shape, len(columns), dtype=np.uint64)
-    for c in columns:
-        h = (h ^ (c.astype(np.uint64) + np.uint64(0x9E3779B9))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _step(h: np.ndarray, c: np.ndarray | int) -> np.ndarray:
+    h = (h ^ (np.uint64(c) if isinstance(c, int) else c)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _slots(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the n-grams of each order, from the lowest, and of their contexts; all share one table."""
+    grams = grams.astype(np.uint64)
+    last = grams[-1] + np.uint64(1)
+    slot = lambda h: (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    for k in reversed(range(ORDER)):
+        h = np.full(grams.shape[1], 0x9E3779B97F4A7C15 + k, dtype=np.uint64)
+        for c in grams[k:-1]:
+            h = _step(h, c)
+        yield slot(_step(h, last)), slot(_step(h, 0))
 
 
 def count_grams(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> None:
     """Add the n-grams of all orders, and their contexts, to ``table``."""
     grams, _, real = _grams(flat, sizes)
-    grams = grams[:, real]
-    end = np.full_like(grams[-1], VOCABULARY)
-    for k in range(ORDER):
-        for slots in (_slots(*grams[k:]), _slots(*grams[k:-1], end)):
-            table += np.bincount(slots, minlength=len(table))
+    for gram, context in _slots(grams[:, real]):
+        np.add.at(table, gram, 1)
+        np.add.at(table, context, 1)
 
 
 def perplexities(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -160,11 +228,9 @@ def perplexities(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.n
         return np.zeros(0)
     grams, starts, real = _grams(flat, sizes)
     p = np.full(grams.shape[1], 1.0 / VOCABULARY)
-    end = np.full_like(grams[-1], VOCABULARY)
     # From the lowest order up, each trusted the more the more often its context was seen.
-    for k in reversed(range(ORDER)):
-        seen, context = table[_slots(*grams[k:])], table[_slots(*grams[k:-1], end)]
-        p = (seen + BACKOFF * p) / (context + BACKOFF)
+    for gram, context in _slots(grams):
+        p = (table[gram] + BACKOFF * p) / (table[context] + BACKOFF)
     cost = np.where(real, -np.log(np.minimum(p, 1.0)), 0.0)
     return np.add.reduceat(cost, starts) / np.add.reduceat(real.astype(float), starts)
 
@@ -172,31 +238,57 @@ def perplexities(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.n
 SHAPE = "flat binary, sizes binary, chars binary, train binary"
 
 
-def text_shape(text: str | None) -> tuple[bytes, bytes, bytes, bytes]:
-    """Sequences of a text's segments, their lengths, their characters and which are to be trained on, as bytes."""
-    parts = segments(text) if text and text.strip() else []
-    prose = set(map(id, prose_part(parts)))
-    sequences = [sequence(p) for p in parts]
-    seen: set[tuple[int, ...]] = set()
-    train = []
-    for p, q in zip(parts, sequences, strict=True):
-        # One sequence counts once in a text, so a text can't teach the model what it repeats.
-        train.append(id(p) in prose and tuple(q) not in seen)
-        seen.add(tuple(q))
-    return (
-        np.asarray([t for q in sequences for t in q], dtype=np.uint16).tobytes(),
-        np.asarray([len(q) for q in sequences], dtype=np.int32).tobytes(),
-        np.asarray([len(p.strip()) for p in parts], dtype=np.int32).tobytes(),
-        np.asarray(train, dtype=np.uint8).tobytes(),
-    )
+def text_shapes(texts: Iterable[str | None]) -> list[tuple[bytes, bytes, bytes, bytes]]:
+    """Per text the sequences of its segments, their lengths, their characters and which to train on, as bytes."""
+    cut = [segments(t) if t and t.strip() else [] for t in texts]
+    flat, sizes = sequences([p for parts in cut for p in parts])
+    flat, out, a, b = flat.astype(np.uint16), [], 0, 0
+    for parts in cut:
+        mine = sizes[a : a + len(parts)]
+        a += len(parts)
+        tokens = flat[b : b + int(mine.sum())]
+        b += len(tokens)
+        prose = set(map(id, prose_part(parts)))
+        seen: set[bytes] = set()
+        train, at = [], 0
+        for p, n in zip(parts, mine.tolist(), strict=True):
+            shape = tokens[at : at + n].tobytes()
+            at += n
+            # One sequence counts once in a text, so a text can't teach the model what it repeats.
+            train.append(id(p) in prose and shape not in seen)
+            seen.add(shape)
+        out.append((tokens.tobytes(), mine.astype(np.int32).tobytes(), np.asarray([len(p.strip()) for p in parts], dtype=np.int32).tobytes(), np.asarray(train, dtype=np.uint8).tobytes()))
+    return out
+
+
+def _few(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[list[str | None]]:
+    """Texts in lists of about ``most`` characters, so that memory doesn't depend on the batch; whole texts always."""
+    few: list[str | None] = []
+    size = 0
+    for text in texts:
+        few.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield few
+            few, size = [], 0
+    if few:
+        yield few
+
+
+def _pieces(batch: pd.DataFrame, most: int = CHUNK) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in pieces of about ``most`` tokens."""
+    number = np.asarray([len(f) // 2 for f in batch["flat"]], dtype=np.int64).cumsum() // most
+    for _, piece in batch.groupby(number, sort=True):
+        yield piece
 
 
 def shapes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text_shape`` of each document, computed once and written to the shared folder."""
+    """``text_shapes`` of the documents, computed once and written to the shared folder."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(k, *text_shape(t)) for k, t in zip(batch["key"], batch["text"], strict=True)], columns=["key", "flat", "sizes", "chars", "train"], dtype=object)
+            found = [shape for few in _few(batch["text"]) for shape in text_shapes(few)]
+            yield pd.DataFrame([(k, *shape) for k, shape in zip(batch["key"], found, strict=True)], columns=["key", "flat", "sizes", "chars", "train"], dtype=object)
 
     # Keys travel as texts, lest pandas makes numbers of whole numbers with nulls.
     return cut_lineage(documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key string, {SHAPE}"))
@@ -252,7 +344,8 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
         def count(batches: Iterator[pd.DataFrame], earlier=earlier) -> Iterator[pd.DataFrame]:
             table = np.zeros(1 << SLOT_BITS)
             for batch in batches:
-                count_grams(*_training(batch, earlier.value), table)
+                for piece in _pieces(batch):
+                    count_grams(*_training(piece, earlier.value), table)
             used = np.flatnonzero(table)
             yield pd.DataFrame({"slot": used, "n": table[used]})
 
@@ -265,8 +358,9 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
         def spread(batches: Iterator[pd.DataFrame], earlier=earlier, shared=shared) -> Iterator[pd.DataFrame]:
             bins, table = np.zeros(BINS, dtype=np.int64), shared.value.table()
             for batch in batches:
-                cost = perplexities(*_training(batch, earlier.value), table)
-                bins += np.bincount(np.minimum(BINS - 1, (cost * BINS_PER_UNIT).astype(int)), minlength=BINS)
+                for piece in _pieces(batch):
+                    cost = perplexities(*_training(piece, earlier.value), table)
+                    bins += np.bincount(np.minimum(BINS - 1, (cost * BINS_PER_UNIT).astype(int)), minlength=BINS)
             used = np.flatnonzero(bins)
             yield pd.DataFrame({"bin": used, "n": bins[used]})
 
@@ -287,7 +381,8 @@ def odd_documents(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"].astype(object), "odd_share": odd_shares(batch, shared.value)})
+            for piece in _pieces(batch):
+                yield pd.DataFrame({"key": piece["key"].astype(object), "odd_share": odd_shares(piece, shared.value)})
 
     return cut.mapInPandas(score, "key string, odd_share double").select(F.col("key").cast(kind).alias(key), "odd_share")
 
