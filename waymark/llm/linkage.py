@@ -141,22 +141,26 @@ def link(plan: DataFrame, mapped: DataFrame, min_overlap: float = MIN_OVERLAP) -
 
 def _candidates(entities: DataFrame, spots: DataFrame, min_overlap: float) -> DataFrame:
     """``(entity, road, stem, alias, overlap)``: pruned edges between plan entities and spellings of roads."""
-    index = spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "tail", "muni", F.explode(_attributes(F.col("stem"))).alias("attribute"))
+    # Blocks travel as hashes: a chance collision adds one attribute to an edge, and names are compared in any case.
+    block = F.xxhash64("muni", "tail", "attribute").alias("block")
+    index = spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "tail", "muni", F.explode(_attributes(F.col("stem"))).alias("attribute")).select("road", "alias", block)
     total = spots.count() or 1
-    rarity = index.groupBy("muni", "tail", "attribute").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
-    looked = entities.select("entity", "stem", "tail", F.explode("munis").alias("muni"), _attributes(F.col("stem")).alias("attributes"))
+    rarity = index.groupBy("block").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
+    looked = entities.select("entity", "tail", F.explode("munis").alias("muni"), _attributes(F.col("stem")).alias("attributes"))
+    keys = looked.select("entity", "tail", "muni", F.explode("attributes").alias("attribute")).select("entity", F.xxhash64("muni").alias("place"), block)
     # An attribute that no road has is as rare as can be.
-    keys = looked.withColumn("attribute", F.explode("attributes")).drop("attributes").join(rarity, ["muni", "tail", "attribute"], "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + total))))
-    by_rarity = Window.partitionBy("entity", "muni").orderBy(F.desc("weight"), "attribute").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("entity", "muni")
+    keys = keys.join(rarity, "block", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + total))))
+    by_rarity = Window.partitionBy("entity", "place").orderBy(F.desc("weight"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("entity", "place")
     keys = keys.withColumn("whole", F.sum("weight").over(whole)).withColumn("above", F.sum("weight").over(by_rarity) - F.col("weight"))
     # What comes after the kept attributes weighs less than min_overlap of all: no edge above it can be missed.
-    keys = keys.filter(F.col("above") <= (1 - min_overlap) * F.col("whole"))
-    edges = keys.join(index, ["muni", "tail", "attribute"]).groupBy("entity", "stem", "road", "alias").agg((F.sum("weight") / F.max("whole")).alias("overlap"))
+    keys = keys.filter(F.col("above") <= (1 - min_overlap) * F.col("whole")).select("entity", "block", "weight", "whole")
+    edges = keys.join(index, "block").groupBy("entity", "road", "alias").agg((F.sum("weight") / F.max("whole")).alias("overlap"))
     edges = edges.filter(F.col("overlap") >= min_overlap)
     best = edges.groupBy("entity").agg(F.max("overlap").alias("best"))
     # Pruning by weight must not lose a spelling with two edits, so it is relative to what one edit may cost.
-    return edges.join(best, "entity").filter(F.col("overlap") >= (1 - PRUNE) * F.col("best")).select("entity", "road", "stem", "alias", "overlap", F.lit(1.0).alias("certainty"))
+    kept = edges.join(best, "entity").filter(F.col("overlap") >= (1 - PRUNE) * F.col("best"))
+    return kept.join(entities.select("entity", "stem"), "entity").select("entity", "road", "stem", "alias", "overlap", F.lit(1.0).alias("certainty"))
 
 
 def _without_municipality(entities: DataFrame, spots: DataFrame) -> DataFrame:
