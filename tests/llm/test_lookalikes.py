@@ -29,6 +29,7 @@ def test_forms(spark):
         "⼭⾕⻑線": "山谷長線",
         "金線": "金線",
         "Α山Т線": "A山T線",
+        "κ山т線": "k山t線",
         "（山）": "(山)",
         "山･川": "山・川",
         "力ラマツ山口線": "カラマツ山口線",

@@ -29,9 +29,9 @@ from ..operators.skew import join_to_lookup
 
 #: Signs that show nothing. Format signs come by their category; these are the others.
 INVISIBLE_OTHERS = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
-#: Letters of other scripts drawn like Latin ones.
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")
-CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеосрухіѕј", "ABESIJKMHOPCTYXaeocpyxisj")
+#: Capital letters of other scripts drawn like Latin ones; the small ones follow their capitals.
+GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX")
+CYRILLIC = ("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX")
 #: Signs drawn like a usual one.
 SIGNS = ("‐‑‒–—−﹘﹣·∙•‧⋅᛫･｡｢｣’‘‛′“”″", "--------・・・・・・・。「」''''\"\"\"")
 #: Radicals that stand for a whole kanji and that Unicode gives no decomposition for.
@@ -58,7 +58,9 @@ def sign_map() -> tuple[str, str]:
             sign, usual = chr(code), unicodedata.normalize("NFKC", chr(code))
             if sign != usual and len(usual) == 1:
                 table[sign] = usual
-    for off, on in (GREEK, CYRILLIC, SIGNS, RADICALS):
+    for off, on in (GREEK, CYRILLIC):
+        table |= dict(zip(off + off.lower(), on + on.lower(), strict=True))
+    for off, on in (SIGNS, RADICALS):
         table |= dict(zip(off, on, strict=True))
     table |= {"゛": COMPOSED_SOUND, "゜": COMPOSED_HALF, "ﾞ": COMPOSED_SOUND, "ﾟ": COMPOSED_HALF}
     hidden = INVISIBLE_OTHERS + "".join(chr(c) for c in range(0x80, 0xE0080) if unicodedata.category(chr(c)) == "Cf" and not 0x600 <= c <= 0x8E2 and c not in (0x110BD, 0x110CD))
