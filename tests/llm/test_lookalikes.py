@@ -49,6 +49,13 @@ def test_kept(spark):
     assert forms(spark, kept) == kept
 
 
+def test_a_misprint_is_no_word_however_common(spark):
+    right = [f"{x}{run}{y}線" for run in ("ノ口", "ヶ八", "コロ") for x in "桑梅桃" for y in "東西南北"]
+    wrong = [f"{x}{run}線" for run in ("ノロ", "ヶハ", "コ口") for x in "杉松桧楢樺栗"]
+    usual = {"ノロ": "ノ口", "ヶハ": "ヶ八", "コ口": "コロ"}
+    assert forms(spark, right + wrong) == right + [w[0] + usual[w[1:3]] + w[3:] for w in wrong]
+
+
 def test_class_has_one_form(spark):
     got = forms(spark, ["ｶﾗﾏﾂ谷線", "カラマツ谷線", "力ラマツ谷線", "カラマツ‍谷線"] * 2)
     assert set(got) == {"カラマツ谷線"}

@@ -6,7 +6,7 @@ collation ``UNICODE``, which also makes canonically equivalent texts and texts t
 one. A deterministic member of each class is its canonical form, and it is joined back.
 
 Which of two twins (``ロ`` or ``口``) belongs in a place is learned from all values: a run of kana is a word if it is
-common, not just a word with a twin beside it; twins inside a word are kana, others are what isolated twins mostly are
+common, more so than the same run with kanji for twins, and not just a word with a twin beside it; twins inside a word are kana, others are what isolated twins mostly are
 in the whole corpus. The canonical member is the member that has every twin where it belongs and no unusual sign;
 if there is none, that form itself.
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.skew import join_to_lookup
+from ..session import cut_lineage
 
 #: Signs that show nothing. Format signs come by their category; these are the others.
 INVISIBLE_OTHERS = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
@@ -40,7 +41,7 @@ RADICALS = ("⺁⺄⺇⺈⺊⺎⺏⺐⺒⺓⺔⺖⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣
 TWIN_KANA, TWIN_KANJI = "ロハタニエトカミチオヌー", "口八夕二工卜力三千才又一"
 #: Ordinary signs between which a word goes on.
 NOISE = r" \-.,*・()「」『』。、_/'\""
-#: A run of kana is a word from so many different values on.
+#: A run of kana is a word from so many different values on, if more values have it than its skeleton with kanji,
 WORD_SUPPORT = 5
 #: and if no word with a twin beside it explains it, that is, none that is so many times as common.
 WORD_RATIO = 10
@@ -106,12 +107,19 @@ def skeleton(text: Column) -> Column:
 
 
 def kana_words(values: DataFrame, support: int = WORD_SUPPORT, ratio: int = WORD_RATIO) -> DataFrame:
-    """``word``: common runs of kana among the distinct texts ``value``, in skeleton form."""
+    """``word``: runs of kana common among the distinct texts ``value`` and mostly written in kana, in skeleton form.
+
+    A run is compared with what has its skeleton between the same neighbours, that is no kana, but holds a kanji.
+    """
     compact = F.regexp_replace("value", f"[{NOISE}]", "")
-    runs = values.select(F.explode(F.array_distinct(F.regexp_extract_all(compact, F.lit("([ァ-ヶー]{2,})"), F.lit(1)))).alias("word"))
-    counts = runs.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    places = values.select(F.monotonically_increasing_id().alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(compact, F.lit(f"([ァ-ヶー{TWIN_KANJI}]{{2,}})"), F.lit(1)))).alias("place"))
+    units = F.regexp_extract_all("place", F.lit(f"([ァ-ヶー]+|[{TWIN_KANJI}])"), F.lit(1))
+    spelled = places.select("id", units.alias("u")).select("id", F.explode(F.expr("flatten(transform(sequence(1, size(u)), a -> transform(sequence(1, size(u) - a + 1), n -> array_join(slice(u, a, n), ''))))")).alias("spelling"))
+    spelled = spelled.select("id", F.translate("spelling", TWIN_KANJI, TWIN_KANA).alias("word"), "spelling").filter(F.length("word") > 1)
     # A word must hold a kana that is no twin, else two kanji in a row might be taken for one.
-    counts = counts.filter(F.translate("word", TWIN_KANA, "") != "")
+    spelled = spelled.filter(F.translate("word", TWIN_KANA, "") != "").select("id", "word", (F.col("spelling") == F.col("word")).alias("kana")).distinct()
+    counts = spelled.groupBy("word").agg(F.count_if("kana").alias("n"), F.count_if(~F.col("kana")).alias("other"))
+    counts = counts.filter((F.col("n") >= support) & (F.col("n") > F.col("other"))).select("word", "n")
     n = len(TWIN_KANA)
     cut = F.expr("filter(array(substring(word, 2), left(word, length(word) - 1)), (p, i) -> length(p) > 1)")
     beside = F.array(F.left("word", F.lit(1)), F.right("word", F.lit(1)))
@@ -162,9 +170,10 @@ def isolated_as_kanji(values: DataFrame, text: DataFrame) -> dict[str, str]:
 def canonical_forms(names: DataFrame) -> DataFrame:
     """``(name, canonical)`` for each distinct non-null ``name``."""
     spark = names.sparkSession
-    stored = names.filter("name IS NOT NULL").select("name").distinct().withColumn("value", plain(F.col("name")))
+    # Both are read many times; cut here, plans stay small enough for the driver.
+    stored = cut_lineage(names.filter("name IS NOT NULL").select("name").distinct().withColumn("value", plain(F.col("name"))))
     values = stored.select("value").distinct()
-    shapes = settled(values, kana_words(values))
+    shapes = settled(values, cut_lineage(kana_words(values)))
     members = stored.withColumn("skeleton", skeleton(F.col("value"))).join(shapes, "skeleton")
     # In SQL: a class is a skeleton under the collation; its canonical form is the member that is in the least
     # unusual form of the class, or that form where no member is.
