@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,30 @@ def test_confidence(spark):
     got = {r.plan_row: r.confidence for r in k.link(p, m).collect()}
     assert got[1] == 1.0
     assert 0.6 <= got[2] < 1.0
+
+
+def alike(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    bag = max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
+    edits = bag - (bag - max(row[-1], bag)) // 2
+    return 1.0 if a == b else 1 - edits / min(max(len(a), len(b)), k.FULL_LENGTH)
+
+
+def test_no_link_is_missed(spark):
+    rnd = random.Random(5)
+    name = lambda n: "".join(rnd.choice("甲乙丙丁戊己庚辛壬癸子丑") for _ in range(n))
+    roads = sorted({name(rnd.randrange(1, 9)) for _ in range(300)})
+    plan = [name(rnd.randrange(1, 7)) for _ in range(40)]
+    for road in rnd.sample([r for r in roads if len(r) > 4], 80):
+        at = rnd.sample(range(len(road)), 2)
+        plan.append("".join(rnd.choice("寅卯辰") if i in at else c for i, c in enumerate(road)))
+        plan.append(road[1] + road[0] + road[2:-2] + road[-1] + road[-2])
+    best = [max(alike(p, r) for r in roads) for p in plan]
+    p = spark.createDataFrame([(i, n + "線", "山田村") for i, n in enumerate(plan)], "plan_row long, name string, municipalities string")
+    m = spark.createDataFrame([(i, f"R{i}", n + "線", "山田村", None) for i, n in enumerate(roads)], "map_row long, road string, name string, municipality string, source string")
+    got = {r.plan_row: alike(plan[r.plan_row], roads[r.map_row]) for r in k.link(p, m).collect()}
+    assert got == {i: b for i, b in enumerate(best) if b >= k.LINK - 1e-9}

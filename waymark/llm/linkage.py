@@ -1,11 +1,11 @@
 """Rows of two tables on the same road, without a shared key.
 
 Method: collective graph linkage. Entities (distinct name and municipality, on the map side per road ID) are nodes.
-Candidate edges come from shared attributes, that is pairs of neighbouring signs of the name within a municipality
-and a number, letter or branch; they are weighted by rarity. Meta-blocking prunes them: an entity is looked up only
-by its rarest attributes, as many as make it impossible to miss an edge above ``MIN_OVERLAP``, and edges much
-weaker than the best of their node go. The rest is refined until stable: what is linked for sure to a road becomes
-another spelling of it, and a spelling close to one of these raises the edge.
+Candidate edges come from shared attributes of the names within a municipality and a number, letter or branch.
+Meta-blocking prunes them: a name is looked up only by two of its rarest signs, out of as many as make it impossible to
+miss a name with so few edits that it is a link, and edges below ``LINK`` go. The others are weighted by the rarity of
+all pairs of neighbouring signs they share and refined until stable: what is linked for sure to a road becomes another
+spelling of it, and a spelling close to one of these raises the edge.
 
 Roads of one name with other numbers, letters or branches, or in other municipalities, never share an attribute.
 A municipality that is missing is taken from the row's source text, then from other rows of the same road ID;
@@ -20,17 +20,13 @@ count; a row's weaker candidates don't; empty tables give no pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..session import cut_lineage
 from .lookalikes import TWIN_KANA, TWIN_KANJI, plain
 
-#: An edge must share so large a part of its plan entity's attribute weight.
-MIN_OVERLAP = 0.15
-#: Edges below so large a part of the best edge of their plan entity are pruned.
-PRUNE = 0.75
 #: Edges of at least so high a likeness are links, and from there on spellings of the road.
 LINK, SURE = 0.6, 0.79
 FULL_LENGTH = 6
@@ -111,11 +107,55 @@ def _attributes(stem: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(stem) + 1), lambda k: F.substring(padded, k, F.lit(2))))
 
 
+def most_edits(length: Column | int) -> Column:
+    """Edits that a link between texts of which the longer one has ``length`` signs may have."""
+    scale = F.least(F.lit(length) if isinstance(length, int) else length, F.lit(FULL_LENGTH))
+    return F.floor((1 - LINK) * scale + 1e-9).cast("int")
+
+
+def _signs(stem: Column) -> Column:
+    """The signs of a name, each with how often it stood so far, and its begin, which all names share."""
+
+    def sign(k: Column) -> Column:
+        c, before = F.substring(stem, k, F.lit(1)), F.left(stem, k)
+        return F.concat(c, (F.length(before) - F.length(F.replace(before, c, F.lit("")))).cast("string"))
+
+    return F.concat(F.array(F.lit("^")), F.transform(F.sequence(F.lit(1), F.length(stem)), sign))
+
+
+def _rare_pairs(stems: DataFrame) -> DataFrame:
+    """``(stem, pairs)``: the pairs among the rarest signs of each distinct ``stem``.
+
+    With ``d`` edits all signs but ``d`` of the longer name are shared, as an edit changes one at most and a change of
+    places none. So in any one order of all signs, the first ``d + 2`` of two such names share two.
+    """
+    signs = stems.select("stem", F.explode(_signs(F.col("stem"))).alias("sign"))
+    known = signs.groupBy("sign").agg(F.count("*").alias("n"))
+    ordered = signs.join(known, "sign").groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("n", "sign"))).alias("signs"))
+    ordered = ordered.select("stem", F.slice("signs.sign", F.lit(1), most_edits(F.length("stem")) + 2).alias("rare"))
+    pairs = F.expr("flatten(transform(sequence(1, size(rare) - 1), i -> transform(slice(rare, i + 1, size(rare)), b -> concat(rare[i - 1], b))))")
+    return ordered.select("stem", pairs.alias("pairs"))
+
+
+def _alike(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(muni, tail, stem, alias)``: all pairs of ``(muni, tail, stem)`` and ``(muni, tail, alias)`` that are links."""
+    aliases = aliases.withColumnRenamed("alias", "stem")
+    pairs = cut_lineage(_rare_pairs(names.select("stem").union(aliases.select("stem")).distinct()))
+    # Blocks travel as hashes: a chance collision costs one comparison.
+    place = F.xxhash64("muni", "tail").alias("place")
+    blocks = lambda df, *columns: df.join(pairs, "stem").select(*columns, place, F.explode("pairs").alias("pair")).withColumn("block", F.xxhash64("place", "pair")).drop("pair")
+    both = blocks(names, "muni", "tail", "stem").join(blocks(aliases, F.col("stem").alias("alias")), ["block", "place"])
+    longest = F.greatest(F.length("stem"), F.length("alias"))
+    near = (F.abs(F.length("stem") - F.length("alias")) <= most_edits(longest)) & (F.levenshtein("stem", "alias", 2 * int((1 - LINK) * FULL_LENGTH + 1e-9)) >= 0)
+    both = both.filter(near).select("muni", "tail", "stem", "alias").distinct()
+    return both.filter(likeness(F.col("stem"), F.col("alias")) >= LINK)
+
+
 def _with_entity(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("entity", F.xxhash64(*columns))
 
 
-def link(plan: DataFrame, mapped: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def link(plan: DataFrame, mapped: DataFrame) -> DataFrame:
     """``(plan_row, map_row, confidence)`` of the pairs of rows on the same road.
 
     ``plan`` has ``plan_row, name, municipalities`` (text of one or more), ``mapped`` has ``map_row, road, name,
@@ -133,34 +173,31 @@ def link(plan: DataFrame, mapped: DataFrame, min_overlap: float = MIN_OVERLAP) -
     known = spots.filter("muni IS NOT NULL").groupBy("road").agg(F.min("muni").alias("other"), F.count_distinct("muni").alias("n")).filter("n = 1")
     spots = spots.join(known.select("road", "other"), "road", "left").select("road", "stem", "tail", F.coalesce("muni", "other").alias("muni")).distinct()
 
-    edges = _candidates(entities, spots, min_overlap)
+    edges = _candidates(entities, spots)
     edges = edges.unionByName(_without_municipality(entities, spots))
     links = _refined(cut_lineage(edges), entities)
     return _best(links).join(plan.select("entity", "plan_row"), "entity").join(mapped.select("road", "map_row"), "road").select("plan_row", "map_row", F.round("confidence", 4).alias("confidence"))
 
 
-def _candidates(entities: DataFrame, spots: DataFrame, min_overlap: float) -> DataFrame:
-    """``(entity, road, stem, alias, overlap)``: pruned edges between plan entities and spellings of roads."""
-    # Blocks travel as hashes: a chance collision adds one attribute to an edge, and names are compared in any case.
+def _candidates(entities: DataFrame, spots: DataFrame) -> DataFrame:
+    """``(entity, road, stem, alias, overlap)``: edges of likeness ``LINK`` between plan entities and spellings of roads.
+
+    Edges below it can't be raised to it: a spelling that is sure is one edit from its road and raises what is one edit
+    from itself, and two edits are a link.
+    """
+    looked = entities.select("entity", "stem", "tail", F.explode("munis").alias("muni"))
+    placed = spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "tail", "muni")
+    pairs = cut_lineage(_alike(looked.select("muni", "tail", "stem").distinct(), placed.select("muni", "tail", "alias").distinct()))
     block = F.xxhash64("muni", "tail", "attribute").alias("block")
-    index = spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "tail", "muni", F.explode(_attributes(F.col("stem"))).alias("attribute")).select("road", "alias", block)
     total = spots.count() or 1
-    rarity = index.groupBy("block").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
-    looked = entities.select("entity", "tail", F.explode("munis").alias("muni"), _attributes(F.col("stem")).alias("attributes"))
-    keys = looked.select("entity", "tail", "muni", F.explode("attributes").alias("attribute")).select("entity", F.xxhash64("muni").alias("place"), block)
+    rarity = placed.select("tail", "muni", F.explode(_attributes(F.col("alias"))).alias("attribute")).groupBy(block).agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
+    keys = pairs.select("muni", "tail", "stem", "alias", F.explode(_attributes(F.col("stem"))).alias("attribute"), _attributes(F.col("alias")).alias("others"))
+    keys = keys.select("muni", "tail", "stem", "alias", block, F.array_contains("others", F.col("attribute")).alias("shared"))
     # An attribute that no road has is as rare as can be.
     keys = keys.join(rarity, "block", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + total))))
-    by_rarity = Window.partitionBy("entity", "place").orderBy(F.desc("weight"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("entity", "place")
-    keys = keys.withColumn("whole", F.sum("weight").over(whole)).withColumn("above", F.sum("weight").over(by_rarity) - F.col("weight"))
-    # What comes after the kept attributes weighs less than min_overlap of all: no edge above it can be missed.
-    keys = keys.filter(F.col("above") <= (1 - min_overlap) * F.col("whole")).select("entity", "block", "weight", "whole")
-    edges = keys.join(index, "block").groupBy("entity", "road", "alias").agg((F.sum("weight") / F.max("whole")).alias("overlap"))
-    edges = edges.filter(F.col("overlap") >= min_overlap)
-    best = edges.groupBy("entity").agg(F.max("overlap").alias("best"))
-    # Pruning by weight must not lose a spelling with two edits, so it is relative to what one edit may cost.
-    kept = edges.join(best, "entity").filter(F.col("overlap") >= (1 - PRUNE) * F.col("best"))
-    return kept.join(entities.select("entity", "stem"), "entity").select("entity", "road", "stem", "alias", "overlap", F.lit(1.0).alias("certainty"))
+    weighed = keys.groupBy("muni", "tail", "stem", "alias").agg((F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("overlap"))
+    edges = weighed.join(looked, ["muni", "tail", "stem"]).join(placed, ["muni", "tail", "alias"])
+    return edges.groupBy("entity", "road", "stem", "alias").agg(F.max("overlap").alias("overlap")).withColumn("certainty", F.lit(1.0))
 
 
 def _without_municipality(entities: DataFrame, spots: DataFrame) -> DataFrame:
