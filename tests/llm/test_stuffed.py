@@ -67,6 +67,30 @@ def test_known_kinds(spark):
     assert None in got
 
 
+def test_keywords_in_sentences_are_found_however_many(spark):
+    rnd = random.Random(4)
+    good, _ = corpus(2, 200)
+
+    def page():
+        pairs = [(rnd.choice(PLACES), rnd.choice(WORDS), rnd.choice(WORDS)) for _ in range(12)]
+        return "".join(f"{p}の{a}なら{p}の{b}。{p} {a} {b} {a}をお探しの方は{p}の{a}へ。" for p, a, b in pairs)
+
+    texts = [*enumerate(good), *((1000 + k, page()) for k in range(80))]
+    assert flagged(spark, texts) == set(range(1000, 1080))
+
+
+def test_copies_teach_nothing(spark):
+    good, _ = corpus(3, 200)
+    odd = "".join(f"{a}へ{b}をへ、もで{a}がとがへ{b}に。" for a, b in zip(WORDS, reversed(WORDS), strict=True))
+    texts = [*enumerate(good), *((1000 + k, odd) for k in range(60))]
+    assert flagged(spark, texts) == set(range(1000, 1060))
+
+
+def test_own_variety():
+    assert s.own_variety("甲山市の温泉なら乙川町の紅葉。") == s.own_variety("温泉\t温泉\t温泉") == s.own_variety("") == 0
+    assert s.own_variety("温泉の温泉による温泉。") == pytest.approx(np.log(1 / 3))
+
+
 def test_no_prose(spark):
     assert flagged(spark, [(1, "温泉 " * 30), (2, None)]) == set()
     assert flagged(spark, []) == set()

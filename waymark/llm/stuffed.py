@@ -2,12 +2,14 @@
 
 Method: texts are cut into segments (lines, and sentences within lines) and each segment into a sequence of function
 words and word classes. An n-gram model is trained on prose: on the sentences, and the rows of data among them, of
-documents that largely consist of sentences; closing links and tags are not learned. Segments whose perplexity is abnormally high or low against that of the segments
-trained on are odd, and a page is flagged if more than half of its characters lie in odd segments.
+documents that largely consist of sentences; closing links and tags are not learned. Segments whose perplexity is
+abnormally high against that of the segments trained on, or that repeat too many of their own words to be sentences,
+are odd, and a page is flagged if more than half of its characters lie in odd segments.
 
-All counts cover all documents. The vocabulary is fixed, and counts are kept in ``2 ** SLOT_BITS`` slots, so the
+A sequence counts once per distinct text, and a text is scored without what it and its copies were counted for. All
+counts cover all documents. The vocabulary is fixed, and counts are kept in ``2 ** SLOT_BITS`` slots, so the
 model's size has a bound that doesn't depend on the corpus; it is summed per partition first and then per slot.
-Nothing else is shuffled, and long texts and reposts don't meet in one task.
+Beside that only the sequences to train on are shuffled, one of each text and its reposts, combined before.
 
 Defined results: null, empty and blank texts are never flagged; a text of one segment counts as its segment;
 a repost is flagged as its original; with no prose at all nothing is flagged.
@@ -52,10 +54,14 @@ CHUNK = 400_000
 
 #: A document is prose if so much of what isn't rows of data is in sentences.
 PROSE_SHARE = 0.4
-#: Perplexity is abnormal this many times the distance of the 5 % and 75 % quantiles from the median.
+#: Perplexity is abnormal this many times the distance of the 5 % and 75 % quantiles above the median.
 SPREADS = 3.0
 #: and at least this far from it.
 LEAST_REACH = 1.0
+#: Variety is abnormal below this, whatever is trained on, so that pages of one kind can't move it, however many.
+LEAST_VARIETY = math.log(0.7)
+#: Content words before a word in which it isn't repeated, so that long segments count as short ones.
+NEAR = 16
 #: How often the model is trained, each time without what the one before flags.
 ROUNDS = 2
 #: Histogram of perplexities for the quantiles.
@@ -183,6 +189,24 @@ def is_data(segment: str) -> bool:
     return "\t" in segment or 2 * sum(map(segment.count, "0123456789")) > len(segment)
 
 
+_CONTENT = re.compile(r"[\u4e00-\u9fff々]{2,}|[ァ-ヶー]{2,}|[A-Za-zÀ-ɏ]{4,}")
+
+
+def own_variety(segment: str) -> float:
+    """Log share of words of a segment that don't repeat one of the ``NEAR`` before; 0 for rows of data."""
+    words = _CONTENT.findall(segment)
+    different = len(set(words))
+    if different == len(words) or is_data(segment):
+        return 0.0
+    if len(words) > NEAR:
+        last: dict[str, int] = {}
+        different = 0
+        for k, word in enumerate(words):
+            different += k - last.get(word, -NEAR - 1) > NEAR
+            last[word] = k
+    return math.log(different / len(words))
+
+
 def _grams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token of the sequences the ``ORDER - 1`` tokens before it and itself; starts; which are no fill.
 
@@ -222,24 +246,49 @@ def count_grams(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> None:
         np.add.at(table, context, 1)
 
 
-def perplexities(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Log perplexity of each sequence under the counts of ``table``."""
+def _own_counts(owner: np.ndarray, counted: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """For each token how often the tokens of the same text that were ``counted`` have its slot."""
+    key = (owner << SLOT_BITS) | slot
+    order = np.argsort(key)
+    key = key[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    own = np.empty(len(key), dtype=np.int64)
+    own[order] = np.repeat(np.add.reduceat(counted[order].astype(np.int64), at), np.diff(np.append(at, len(key))))
+    return own
+
+
+def perplexities(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray, owner: np.ndarray | None = None, counted: np.ndarray | None = None) -> np.ndarray:
+    """Log perplexity of each sequence under the counts of ``table``.
+
+    With ``owner``, the text of each sequence, without what the ``counted`` sequences of the same text added.
+    """
     if not len(sizes):
         return np.zeros(0)
     grams, starts, real = _grams(flat, sizes)
     p = np.full(grams.shape[1], 1.0 / VOCABULARY)
     # From the lowest order up, each trusted the more the more often its context was seen.
+    owners, mine = (None, None) if owner is None else (np.repeat(owner, sizes + ORDER), np.repeat(counted, sizes + ORDER) & real)
     for gram, context in _slots(grams):
-        p = (table[gram] + BACKOFF * p) / (table[context] + BACKOFF)
+        n, of = table[gram], table[context]
+        if owners is not None:
+            n, of = np.maximum(0.0, n - _own_counts(owners, mine, gram)), np.maximum(0.0, of - _own_counts(owners, mine, context))
+        p = (n + BACKOFF * p) / (of + BACKOFF)
     cost = np.where(real, -np.log(np.minimum(p, 1.0)), 0.0)
     return np.add.reduceat(cost, starts) / np.add.reduceat(real.astype(float), starts)
 
 
-SHAPE = "flat binary, sizes binary, chars binary, train binary"
+SHAPE = "flat binary, sizes binary, chars binary, train binary, variety binary"
 
 
 def text_shapes(texts: Iterable[str | None]) -> list[tuple[bytes, bytes, bytes, bytes]]:
     """Per text the sequences of its segments, their lengths, their characters and which to train on, as bytes."""
+    return [shape[:4] for shape in _all_shapes(texts)]
+
+
+def _all_shapes(texts: Iterable[str | None]) -> list[tuple[bytes, bytes, bytes, bytes, bytes]]:
+    """``text_shapes`` and the ``own_variety`` of each segment."""
     cut = [segments(t) if t and t.strip() else [] for t in texts]
     flat, sizes = sequences([p for parts in cut for p in parts])
     flat, out, a, b = flat.astype(np.uint16), [], 0, 0
@@ -257,7 +306,7 @@ def text_shapes(texts: Iterable[str | None]) -> list[tuple[bytes, bytes, bytes,
             # One sequence counts once in a text, so a text can't teach the model what it repeats.
             train.append(id(p) in prose and shape not in seen)
             seen.add(shape)
-        out.append((tokens.tobytes(), mine.astype(np.int32).tobytes(), np.asarray([len(p.strip()) for p in parts], dtype=np.int32).tobytes(), np.asarray(train, dtype=np.uint8).tobytes()))
+        out.append((tokens.tobytes(), mine.astype(np.int32).tobytes(), np.asarray([len(p.strip()) for p in parts], dtype=np.int32).tobytes(), np.asarray(train, dtype=np.uint8).tobytes(), np.asarray([own_variety(p) for p in parts], dtype=np.float32).tobytes()))
     return out
 
 
@@ -283,15 +332,15 @@ def _pieces(batch: pd.DataFrame, most: int = CHUNK) -> Iterator[pd.DataFrame]:
 
 
 def shapes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text_shapes`` of the documents, computed once and written to the shared folder."""
+    """``text_shapes``, variety and digest of the documents, computed once and written to the shared folder."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shape for few in _few(batch["text"]) for shape in text_shapes(few)]
-            yield pd.DataFrame([(k, *shape) for k, shape in zip(batch["key"], found, strict=True)], columns=["key", "flat", "sizes", "chars", "train"], dtype=object)
+            found = [shape for few in _few(batch["text"]) for shape in _all_shapes(few)]
+            yield pd.DataFrame([(k, d, *shape) for k, d, shape in zip(batch["key"], batch["digest"], found, strict=True)], columns=["key", "digest", "flat", "sizes", "chars", "train", "variety"], dtype=object)
 
     # Keys travel as texts, lest pandas makes numbers of whole numbers with nulls.
-    return cut_lineage(documents.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key string, {SHAPE}"))
+    return cut_lineage(documents.select(F.col(key).cast("string").alias("key"), F.md5(F.col(text).cast("binary")).alias("digest"), F.col(text).alias("text")).mapInPandas(cut, f"key string, digest string, {SHAPE}"))
 
 
 def _batch(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -302,22 +351,23 @@ def _batch(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def odd_shares(batch: pd.DataFrame, model: Model) -> np.ndarray:
-    """Share of each text's characters, blanks around segments not counted, in segments of abnormal perplexity."""
+    """Share of each text's characters, blanks around segments not counted, in odd segments."""
     flat, sizes, chars, _, owner = _batch(batch)
-    cost = perplexities(flat, sizes, model.table())
-    odd = (cost > model.high) | (cost < model.low)
+    variety = np.frombuffer(b"".join(batch["variety"]), dtype=np.float32)
+    cost = perplexities(flat, sizes, model.table(), owner, _learned(batch, model.earlier))
+    odd = (cost > model.high) | (variety < LEAST_VARIETY)
     of = lambda weight: np.bincount(owner, weights=weight, minlength=len(batch))
     return of(chars * odd) / np.maximum(1.0, of(chars.astype(float)))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts by slot, and the bounds beyond which perplexity is abnormal."""
+    """Counts by slot, the bound above which perplexity is abnormal, and the model before."""
 
     slots: np.ndarray
     counts: np.ndarray
-    low: float = -math.inf
     high: float = math.inf
+    earlier: Model | None = None
 
     def table(self) -> np.ndarray:
         table = np.zeros(1 << SLOT_BITS)
@@ -325,52 +375,74 @@ class Model:
         return table
 
 
-def _training(batch: pd.DataFrame, earlier: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences to train on, without those of texts that the earlier model flags."""
-    flat, sizes, chars, train, owner = _batch(batch)
+def _learned(batch: pd.DataFrame, earlier: Model | None) -> np.ndarray:
+    """Which sequences are trained on, not those of texts that the earlier model flags."""
+    _, _, chars, train, owner = _batch(batch)
     keep = train & (chars > 0)
     if earlier is not None and len(owner):
         keep &= (odd_shares(batch, earlier) <= ODD_SHARE)[owner]
+    return keep
+
+
+def _training(batch: pd.DataFrame, earlier: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences to train on."""
+    flat, sizes, _, _, _ = _batch(batch)
+    keep = _learned(batch, earlier)
     return flat[np.repeat(keep, sizes)], sizes[keep]
 
 
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Train on all ``shapes``; later rounds leave out what the round before flags. None if there is no prose."""
+    """Train on all distinct ``shapes``; later rounds leave out what the round before flags. None if there is no prose."""
     spark = documents.sparkSession
+    # Copies of a text have its digest and so its shapes: which of them stays makes no difference.
+    texts = cut_lineage(documents.drop("key").dropDuplicates(["digest"]))
     model: Model | None = None
     for _ in range(rounds):
-        earlier = spark.sparkContext.broadcast(model)
+        if model is not None:
+            texts = _unflagged(texts, model)
 
-        def count(batches: Iterator[pd.DataFrame], earlier=earlier) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table = np.zeros(1 << SLOT_BITS)
             for batch in batches:
                 for piece in _pieces(batch):
-                    count_grams(*_training(piece, earlier.value), table)
+                    count_grams(*_training(piece, None), table)
             used = np.flatnonzero(table)
             yield pd.DataFrame({"slot": used, "n": table[used]})
 
-        found = documents.mapInPandas(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        found = texts.mapInPandas(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         if found.empty:
             return None
         counts = Model(found["slot"].to_numpy(np.int64), found["n"].to_numpy(float))
         shared = spark.sparkContext.broadcast(counts)
 
-        def spread(batches: Iterator[pd.DataFrame], earlier=earlier, shared=shared) -> Iterator[pd.DataFrame]:
+        def spread(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             bins, table = np.zeros(BINS, dtype=np.int64), shared.value.table()
             for batch in batches:
                 for piece in _pieces(batch):
-                    cost = perplexities(*_training(piece, earlier.value), table)
+                    keep, owner = _learned(piece, None), _batch(piece)[4]
+                    cost = perplexities(*_training(piece, None), table, owner[keep], np.ones(int(keep.sum()), dtype=bool))
                     bins += np.bincount(np.minimum(BINS - 1, (cost * BINS_PER_UNIT).astype(int)), minlength=BINS)
             used = np.flatnonzero(bins)
             yield pd.DataFrame({"bin": used, "n": bins[used]})
 
-        histogram = documents.mapInPandas(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+        histogram = texts.mapInPandas(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
         at = lambda q: float(histogram["bin"].iloc[int(np.searchsorted(histogram["n"].cumsum(), q * histogram["n"].sum()))] + 0.5) / BINS_PER_UNIT  # noqa: B023, E731
         reach = max(LEAST_REACH, SPREADS * (at(0.75) - at(0.05)))
-        model = replace(counts, low=at(0.5) - reach, high=at(0.5) + reach)
+        model = replace(counts, high=at(0.5) + reach, earlier=model)
     return model
 
 
+def _unflagged(texts: DataFrame, model: Model) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                yield piece[odd_shares(piece, shared.value) <= ODD_SHARE]
+
+    return cut_lineage(texts.mapInPandas(keep, texts.schema))
+
+
 def odd_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, odd_share)`` of each document."""
     cut, kind = shapes(documents, key, text), documents.schema[key].dataType
