@@ -38,6 +38,12 @@ def found(spark, payload, kind="nagano_entrances"):
         ('{"roads": [{"roadId": "A", "entrances": [{"id": "a"', []),
         ('{"roads": [{"roadId": "A", "entrances": [{"id": "a"}]}]} tail', []),
         ('{"roads": []}{"roads": []}', []),
+        ('{"data": ' * 9 + '{"roads": [{"roadId": "A", "entrances": [{"id": "a"}]}]}' + "}" * 9, [(1, 1, "a")]),
+        ('{"a": {"roads": [{"roadId": "A", "entrances": [{"id": "a"}]}]}, "n": 1, "b": {"roads": [null, {"roadId": "B", "entrances": [{"id": "b"}]}]}}', [(1, 1, "a"), (3, 1, "b")]),
+        ('{"data": {"roads": [{"roadId": "A", "entrances": [{"id": "a"}]}]}, "result": [{"roadId": "B", "entrances": [{"id": "b"}]}]}', [(1, 1, "a"), (2, 1, "b")]),
+        ('[{"roads": [{"roadId": "A", "entrances": [{"id": "a"}]}]}, null, {"roads": [{"roadId": "B", "entrances": [{"id": "b"}]}]}]', [(1, 1, "a"), (3, 1, "b")]),
+        ('{"roads": [{"roadId": "A", "segments": [{"segments": [{"entrances": [{"id": "a"}]}, {"segments": [{"segments": [{"entrances": [null, {"id": "b"}]}]}], "entrances": [{"id": "c"}]}]}, {"entrances": [{"id": "d"}]}]}]}', [(1, 1, "a"), (1, 3, "b"), (1, 4, "c"), (1, 5, "d")]),
+        ('{"roads": null, "cards": null}', []),
         ("<html></html>", []),
         ("", []),
         ("null", []),
@@ -64,6 +70,14 @@ def test_source_shapes(spark, payload, expected):
     assert found(spark, payload, "karte") == expected
 
 
+def test_roads_beside_cards(spark):
+    payload = '{"meta": {"n": 2}, "roads": [{"roadId": "A", "entrances": [{"id": "a"}]}], "cards": [{"id": "C", "sources": [{"url": "u"}]}]}'
+    df = raw(spark, payload)
+    assert rows(nested.raw_roads(df), "road_pos", "kind", "record_key") == [(1, "nagano_entrances", "A"), (2, "karte", "C")]
+    assert found(spark, payload) == [(1, 1, "a")]
+    assert found(spark, payload, "karte") == [(2, 1, "u")]
+
+
 def test_long_text_and_many_children(spark):
     many = [{"id": f"E{k}", "description": "長" * 2000} for k in range(500)]
     payload = json.dumps({"roads": [{"roadId": "A", "entrances": many}]}, ensure_ascii=False)

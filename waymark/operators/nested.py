@@ -13,6 +13,8 @@ Defined results:
 * a payload that is itself a JSON string holding JSON is read as the JSON it holds;
 * null lists are empty; null list elements count for positions and yield no row;
 * an object in place of a list is a map from keys to children if all its values are objects, else one child;
+* wrappers around records are opened at any depth; lists found beside each other count as one list;
+* entrances of segments, at any depth, are entrances of their road;
 * a bare text in place of a child object is the child's key;
 * keys are returned as stored; null or blank ones are null;
 * repeated rows are kept, extra columns are ignored.
@@ -34,7 +36,8 @@ STRICT = "map('allowSingleQuotes', 'false')"
 RECORD_KEYS = ("roadId", "id", "entrances", "segments", "sources", "name", "classification")
 #: Keys under which an envelope holds its records, then those that lead deeper.
 LISTS, WRAPPERS = ("roads", "cards"), ("data", "result", "payload", "body", "response")
-DEPTH = 6
+#: What the records of these lists are.
+KINDS = ("nagano_entrances", "karte")
 
 
 def _let(value: str, body) -> str:
@@ -60,17 +63,47 @@ def _has(m: str, keys) -> str:
     return "(" + " OR ".join(f"map_contains_key({m}, '{k}')" for k in keys) + ")"
 
 
-def _unwrap(x: str) -> str:
-    """One step from an envelope to its records."""
+def _quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
-    def step(m: str) -> str:
-        k, v = f"k{next(_fresh)}", f"w{next(_fresh)}"
-        named = ", ".join(f"{m}['{key}']" for key in (*LISTS, *WRAPPERS))
-        deeper = f"get(map_values(map_filter({m}, ({k}, {v}) -> {_starts(v, '{')} AND ({' OR '.join(f'contains({v}, {chr(39)}{chr(34)}{n}{chr(34)}:{chr(39)})' for n in LISTS)}))), 0)"
-        lists = ", ".join(f"{m}['{key}']" for key in LISTS)
-        return f"CASE WHEN {m} IS NULL THEN {x} WHEN {_has(m, LISTS)} THEN coalesce({lists}) WHEN {_has(m, RECORD_KEYS)} THEN {x} ELSE coalesce({named}, {deeper}, {x}) END"
 
-    return f"CASE WHEN {_starts(x, '{')} THEN " + _let(f"from_json({x}, {MAP})", step) + f" ELSE {x} END"
+def _holds_lists(x: str) -> str:
+    """Whether a JSON text as ``from_json`` writes it has a list of records somewhere."""
+    return "(" + " OR ".join(f"contains({x}, '\"{n}\":')" for n in LISTS) + ")"
+
+
+def _item(name: str, key: str, value: str, is_open: str) -> str:
+    return f"named_struct('l', CAST({name} AS STRING), 'k', CAST({key} AS STRING), 'v', {value}, 'o', {is_open})"
+
+
+def _opened(item: str) -> str:
+    """What an open item holds, in reading order; an item that is no envelope comes back closed."""
+    closed = f"array({_item(f'{item}.l', f'{item}.k', f'{item}.v', 'false')})"
+
+    def of_map(m: str) -> str:
+        e = f"e{next(_fresh)}"
+        deeper = f"{_starts(f'{e}.v', '{')} AND {_holds_lists(f'{e}.v')}"
+        inner = f"filter({_entries(m)}, {e} -> {e}.k IN ({_quoted((*LISTS, *WRAPPERS))}) OR ({deeper}))"
+        inner = f"filter({inner}, {e} -> {_starts(f'{e}.v', '{')} OR {_starts(f'{e}.v', '[')})"
+        items = _let(inner, lambda found: f"CASE WHEN size({found}) = 0 AND NOT {_has(m, LISTS)} THEN {closed} ELSE transform({found}, {e} -> {_item(f'CASE WHEN {e}.k IN ({_quoted(LISTS)}) THEN {e}.k ELSE {item}.l END', 'NULL', f'{e}.v', 'true')}) END")
+        return f"CASE WHEN {m} IS NULL OR ({_has(m, RECORD_KEYS)} AND NOT {_has(m, LISTS)}) THEN {closed} ELSE {items} END"
+
+    v = f"v{next(_fresh)}"
+    of_list = f"transform(from_json({item}.v, {LIST}), {v} -> {_item(f'{item}.l', 'NULL', v, f'{v} IS NOT NULL')})"
+    mapped = _let(f"from_json({item}.v, {MAP})", of_map)
+    return f"CASE WHEN NOT {item}.o THEN array({item}) WHEN {_starts(f'{item}.v', '[')} AND {_holds_lists(f'{item}.v')} THEN coalesce({of_list}, {closed}) WHEN {_starts(f'{item}.v', '{')} THEN {mapped} ELSE {closed} END"
+
+
+def _repeated(items: str, step, is_open, most: str) -> str:
+    """``items`` with ``step`` for each, as often as there are open ones; ``most`` bounds how often that can be.
+
+    Rounds in which nothing is open cost no more than a test of the flag.
+    """
+    state, i, x, n = (f"{v}{next(_fresh)}" for v in "sixn")
+    opened = f"flatten(transform({state}.items, {x} -> {step(x)}))"
+    after = _let(opened, lambda found: f"named_struct('go', exists({found}, {i} -> {is_open(i)}), 'items', {found})")
+    zero = _let(items, lambda found: f"named_struct('go', exists({found}, {i} -> {is_open(i)}), 'items', {found})")
+    return f"aggregate(sequence(0, {most}), {zero}, ({state}, {n}) -> CASE WHEN {state}.go THEN {after} ELSE {state} END, {state} -> {state}.items)"
 
 
 def _list_items(x: str) -> str:
@@ -93,7 +126,7 @@ def _one(x: str) -> str:
 def _records(x: str) -> str:
     """Roads or cards of a container, in reading order, with the key each is listed under."""
     as_map = _let(f"from_json({x}, {MAP})", lambda m: f"CASE WHEN {_has(m, RECORD_KEYS)} THEN {_one(x)} ELSE {_entries(m)} END")
-    return f"coalesce(CASE WHEN {_starts(x, '[')} THEN {_list_items(x)} WHEN {_starts(x, '{')} THEN {as_map} END, {NONE})"
+    return f"coalesce(CASE WHEN {x} IS NULL THEN {_one(x)} WHEN {_starts(x, '[')} THEN {_list_items(x)} WHEN {_starts(x, '{')} THEN {as_map} END, {NONE})"
 
 
 def _children(x: str) -> str:
@@ -107,32 +140,46 @@ def _children(x: str) -> str:
     return f"coalesce(CASE WHEN {x} IS NULL THEN {NONE} WHEN {_starts(x, '[')} THEN {_list_items(x)} WHEN {_starts(x, '{')} THEN {_let(f'from_json({x}, {MAP})', of_map)} ELSE {_one(x)} END, {NONE})"
 
 
-def _entrances_of(m: str) -> str:
-    """Entrances of a road, those of its segments included, in reading order."""
-    e, s = f"e{next(_fresh)}", f"s{next(_fresh)}"
-    segments = _children(f"{e}.v")
-    inner = _let(f"from_json({s}.v, {MAP})", lambda sm: _children(f"{sm}['entrances']"))
-    return f"flatten(transform(filter({_entries(m)}, {e} -> {e}.k IN ('entrances', 'segments')), {e} -> CASE WHEN {e}.k = 'entrances' THEN {_children(f'{e}.v')} ELSE flatten(transform({segments}, {s} -> {inner})) END))"
+def _entrances_of(m: str, text: str) -> str:
+    """Entrances of a road, those of its segments and of segments within them included, in reading order."""
+    e, c, p = (f"{v}{next(_fresh)}" for v in "ecp")
+    parts = lambda entries: f"filter({entries}, {p} -> {p}.k IN ('entrances', 'segments'))"
+
+    def step(x: str) -> str:
+        inner = _let(f"from_json({c}.v, {MAP})", lambda sm: f"coalesce({parts(_entries(sm))}, {NONE})")
+        return f"CASE WHEN {x}.k = 'segments' THEN flatten(transform({_children(f'{x}.v')}, {c} -> {inner})) ELSE array({x}) END"
+
+    marks = "\"segments\":"
+    depth = f"CAST((length({text}) - length(replace({text}, '{marks}', ''))) / {len(marks)} AS INT)"
+    found = f"CASE WHEN map_contains_key({m}, 'segments') THEN {_repeated(parts(_entries(m)), step, lambda x: f'{x}.k = {chr(39)}segments{chr(39)}', depth)} ELSE {parts(_entries(m))} END"
+    return f"flatten(transform({found}, {e} -> {_children(f'{e}.v')}))"
 
 
 def _record_fields(record: str) -> str:
-    """Struct of a record: its own key, its map of fields and its children."""
+    """Struct of a record: its own key, its map of fields, its kind if its list tells, and its children."""
+    named = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in zip(LISTS, KINDS, strict=True))
     body = lambda m: (
         f"named_struct('record_key', coalesce({_nonblank(f'{m}[{chr(39)}roadId{chr(39)}]')}, {_nonblank(f'{m}[{chr(39)}id{chr(39)}]')}, {_nonblank(f'{record}.k')}), "
-        f"'fields', {m}, "
-        f"'entrances', {_entrances_of(m)}, 'sources', {_children(f'{m}[{chr(39)}sources{chr(39)}]')})"
+        f"'fields', {m}, 'kind', CASE {record}.l {named} END, "
+        f"'entrances', {_entrances_of(m, f'{record}.v')}, 'sources', {_children(f'{m}[{chr(39)}sources{chr(39)}]')})"
     )
     return _let(f"from_json({record}.v, {MAP})", body)
 
 
 def raw_record_tree(raw: DataFrame) -> DataFrame:
-    """Payloads as an array of records, each with its key, fields and children as (key, text)."""
-    container = _decode(_decode("payload"))
-    df = raw.select(F.col("raw_no").alias("record_no"), "kind", F.expr(container).alias("doc"))
-    for _ in range(DEPTH):
-        df = df.withColumn("doc", F.expr(_unwrap("doc")))
-    r = f"r{next(_fresh)}"
-    return df.withColumn("records", F.expr(_records("doc"))).select("record_no", "kind", F.expr(f"transform(records, {r} -> {_record_fields(r)})").alias("records"))
+    """Payloads as an array of records, each with its key, kind, fields and children as (key, text).
+
+    Envelopes are opened until none is left, however deep; the lists found beside each other are put together in
+    reading order.
+    """
+    df = raw.select(F.col("raw_no").alias("record_no"), "kind", F.expr(_decode(_decode("payload"))).alias("doc"))
+    start = f"CASE WHEN doc IS NULL THEN CAST(array() AS ARRAY<STRUCT<l: STRING, k: STRING, v: STRING, o: BOOLEAN>>) ELSE array({_item('NULL', 'NULL', 'doc', 'true')}) END"
+    # Each round opens one level, and each level begins with a sign of its own.
+    depth = "length(doc) - length(translate(doc, '{[', ''))"
+    df = df.withColumn("items", F.expr(_repeated(start, _opened, lambda x: f"{x}.o", f"coalesce({depth}, 0)")))
+    i, r = f"i{next(_fresh)}", f"r{next(_fresh)}"
+    records = f"flatten(transform(items, {i} -> transform({_records(f'{i}.v')}, {r} -> named_struct('l', {i}.l, 'k', {r}.k, 'v', {r}.v))))"
+    return df.withColumn("records", F.expr(records)).select("record_no", "kind", F.expr(f"transform(records, {r} -> {_record_fields(r)})").alias("records"))
 
 
 ENTRANCE_FIELDS = ("lat", "lon", "status", "pointType", "accessClass", "surface", "navEnabled", "description", "source", "sourceUrl", "checkedOn")
@@ -176,8 +223,7 @@ def raw_roads(raw: DataFrame) -> DataFrame:
     """Roads and cards of the payloads: ``(record_no, kind, road_pos, record_key, name, classification)``."""
     return raw_record_tree(raw).select(
         "record_no",
-        "kind",
-        F.expr("inline(transform(records, (r, i) -> named_struct('road_pos', i + 1, 'record_key', r.record_key, 'name', r.fields['name'], 'classification', r.fields['classification'], 'n_entrances', size(r.entrances), 'n_sources', size(r.sources))))"),
+        F.expr("inline(transform(records, (r, i) -> named_struct('road_pos', i + 1, 'kind', coalesce(r.kind, kind), 'record_key', r.record_key, 'name', r.fields['name'], 'classification', r.fields['classification'], 'n_entrances', size(r.entrances), 'n_sources', size(r.sources))))"),
     )
 
 

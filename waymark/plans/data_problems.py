@@ -40,6 +40,14 @@ def p1_typed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return nested.table_sources(load(spark, folder, "karte")).filter("child_key IS NOT NULL").select("record_no", "child_pos", "parent_key", "child_key", "title", "note")
 
 
+def p1_typed_roads(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_roads(spark, folder).filter("src = 'nagano_entrances'").select("record_no", "road_pos", "road_key", "classification", "n_children")
+
+
+def p1_typed_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_cards(spark, folder).filter("src = 'karte'").select("record_no", "road_pos", "card_key", "name", "n_children")
+
+
 def _references(spark: SparkSession, folder: str) -> DataFrame:
     locations = orphans.references(load(spark, folder, "suwa_chino_locations"), "suwa_chino_locations", "ID", "loc_row", "received_at")
     return locations.unionByName(orphans.references(load(spark, folder, "nagano_entrances"), "nagano_entrances", "roadId", "record_no", "received_at"))
@@ -87,11 +95,13 @@ _MONTH = "strftime(CAST(t AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m')"
 _ORPHAN = "NOT EXISTS (SELECT 1 FROM g WHERE g.k = r.k AND g.a <= r.t AND (g.b IS NULL OR g.b > r.t))"
 _PLACE = "{0} BETWEEN 20 AND 50 AND {1} BETWEEN 120 AND 155"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_roads, p1_cards, p1_entrances, p1_sources, p1_typed_entrances, p1_typed_sources, p2_found, p2_report, p5_found, p7_found, p7_boxes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_roads, p1_cards, p1_entrances, p1_sources, p1_typed_entrances, p1_typed_sources, p1_typed_roads, p1_typed_cards, p2_found, p2_report, p5_found, p7_found, p7_boxes)}
 
 ORACLES = {
     "p1_typed_entrances": "SELECT record_no, CAST(i AS INTEGER) AS child_pos, roadId AS parent_key, entrances[i].id AS child_key, entrances[i].status AS status, entrances[i].pointType AS \"pointType\" FROM (SELECT *, unnest(range(1, len(entrances) + 1)) AS i FROM nagano_entrances) WHERE regexp_matches(entrances[i].id, '[^\\s　]')",
     "p1_typed_sources": "SELECT card_row AS record_no, CAST(i AS INTEGER) AS child_pos, id AS parent_key, sources[i].url AS child_key, sources[i].title AS title, sources[i].note AS note FROM (SELECT *, unnest(range(1, len(sources) + 1)) AS i FROM karte) WHERE regexp_matches(sources[i].url, '[^\\s　]')",
+    "p1_typed_roads": "SELECT record_no, CAST(1 AS INTEGER) AS road_pos, roadId AS road_key, classification, CAST(coalesce(len(entrances), 0) AS INTEGER) AS n_children FROM nagano_entrances",
+    "p1_typed_cards": "SELECT card_row AS record_no, CAST(1 AS INTEGER) AS road_pos, id AS card_key, name, CAST(coalesce(len(sources), 0) AS INTEGER) AS n_children FROM karte",
     "p2_found": f"WITH r AS ({_REFERENCES}), g AS ({_REGISTER}) SELECT ref_table, ref_row, {_MONTH} AS period FROM r WHERE k <> '' AND t IS NOT NULL AND {_ORPHAN}",
     "p2_report": f"WITH r AS ({_REFERENCES}), g AS ({_REGISTER}) SELECT ref_table, {_MONTH} AS period, count(*) AS n_references, count(*) FILTER ({_ORPHAN}) AS n_orphans FROM r WHERE k <> '' AND t IS NOT NULL GROUP BY ALL",
     "p7_found": f"""WITH e AS (SELECT record_no, CAST(i AS INTEGER) AS entrance_pos, entrances[i].lat AS lat, entrances[i].lon AS lon FROM (SELECT *, unnest(range(1, len(entrances) + 1)) AS i FROM nagano_entrances)),

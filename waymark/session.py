@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,11 +34,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is ``spark.checkpoint.dir`` where the cluster names one. Only where that is unset (a local
-    session) a folder of this process is used.
+    The folder is ``spark.checkpoint.dir`` where the cluster names one. Where that is unset, a local session uses a
+    folder of this process, removed at its end; on a cluster, whose workers don't share one, that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"waymark-checkpoint-{os.getpid()}"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
+        folder = tempfile.mkdtemp(prefix="waymark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of a session started elsewhere than in the folder of the repository."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder) / root.name), "zip", root.parent, root.name))
