@@ -41,6 +41,14 @@ def test_top_per_group_is_the_greedy_walk(spark):
     assert rows(rank.top_per_group(df, "g", 6, 9, F.desc("s"), F.asc("i")), "i", "position") == sorted(taken, key=repr)
 
 
+def test_best_two_only_and_pages(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 1), ("a", 2), ("b", 5), (None, 7)], "k string, v int")
+    assert rows(rank.best_two(df, "k", F.col("v"), "v"))[:2] == [("a", 1, 2), ("b", 5, None)]
+    assert rows(rank.only_of(df, ["k"])) == [("b", 5), (None, 7)]
+    assert rows(rank.paged(df, ["k"], "v", 2), "k", "page", "values") == [("a", 0, [1, 1]), ("a", 1, [2, 3]), ("b", 0, [5]), (None, 0, [7])]
+    assert rank.paged(df.limit(0), ["k"], "v", 2).count() == 0
+
+
 def test_only_match(spark):
     pairs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "p int, o string")
     assert rows(rank.only_match(pairs, ["p"])) == [(1, "a")]
@@ -83,6 +91,15 @@ def test_rings_and_polygons(spark):
     assert set(ring) == set(square)
     with pytest.raises(ValueError, match="close"):
         spatial.stitched(pieces[:3])
+    # Two rings that touch in one place, pieces in any order, and a ring of one piece.
+    other = [[(4.0, 4.0), (8.0, 4.0)], [(8.0, 8.0), (8.0, 4.0)], [(4.0, 4.0), (8.0, 8.0)]]
+    whole = [(20.0, 20.0), (20.0, 21.0), (21.0, 21.0), (20.0, 20.0)]
+    many = spatial.stitched([whole, *other, *pieces[::-1]])
+    assert all(r[0] == r[-1] for r in many)
+    edge = lambda lines: sorted(tuple(sorted(e)) for line in lines for e in zip(line, line[1:], strict=False))
+    assert edge(many) == edge([whole, *other, *pieces])
+    assert spatial.stitched([]) == []
+    assert spatial.stitched([[]]) == []
     hole = [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0), (1.0, 1.0)]
     rings = spark.createDataFrame([(1, "outer", 1, ring), (1, "inner", 2, hole)], "polygon int, role string, ring int, points array<struct<lat: double, lon: double>>")
     points = spark.createDataFrame([("in", 3.0, 3.0), ("hole", 1.5, 1.5), ("out", 5.0, 1.0), ("none", None, 1.0)], "point string, lat double, lon double")

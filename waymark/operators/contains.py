@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,24 @@ from pyspark.sql import functions as F
 BLOCK_TERMS = 200_000
 
 
+#: Automata of this worker by block; a worker that takes up further tasks goes on with them.
+_built: dict[str, object] = {}
+
+
+def automaton(block: str, terms: list[str]):
+    """Automaton over ``terms`` whose values are their positions, built once per worker and block."""
+    if block not in _built:
+        import ahocorasick
+
+        _built.clear()
+        made = ahocorasick.Automaton()
+        for k, term in enumerate(terms):
+            made.add_word(term, k)
+        made.make_automaton()
+        _built[block] = made
+    return _built[block]
+
+
 def terms_in_texts(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``(key, term)`` of each text and each distinct term that it holds."""
     spark = texts.sparkSession
@@ -28,17 +47,13 @@ def terms_in_texts(texts: DataFrame, key: str, text: str, terms: DataFrame, term
     rows = (r[0] for r in terms.filter(f"`{term}` <> ''").select(term).distinct().toLocalIterator())
     parts = []
     while block := list(islice(rows, block_terms)):
-        shared = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
+        shared, name = spark.sparkContext.broadcast(block), uuid4().hex
 
-            automaton = ahocorasick.Automaton()
-            for word in shared.value:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
+        def find(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            words = shared.value
+            found_in = automaton(name, words)
             for batch in batches:
-                found = [(k, word) for k, t in zip(batch["k"], batch["t"], strict=True) for word in sorted({w for _, w in automaton.iter(t)})]
+                found = [(k, word) for k, t in zip(batch["k"], batch["t"], strict=True) for word in sorted({words[i] for _, i in found_in.iter(t)})]
                 yield pd.DataFrame(found, columns=["k", "w"], dtype=object)
 
         parts.append(source.mapInPandas(find, "k string, w string"))

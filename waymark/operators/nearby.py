@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, LATITUDES, great_circle_m, is_place
+from ..functions.geo import EARTH_RADIUS_M, LATITUDES, LONGITUDES, great_circle_m, is_place
 
 #: Above this number of boxes they are joined through the grid instead of being broadcast.
-BROADCAST_BOXES = 10_000
+BROADCAST_BOXES = 300
 #: Side of the grid cells of that join, in degrees.
 BOX_CELL = 0.1
 
@@ -74,9 +74,28 @@ def boxes_around(points: DataFrame, boxes: DataFrame, broadcast_boxes: int = BRO
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
     if boxes.limit(broadcast_boxes + 1).count() <= broadcast_boxes:
         return points.join(F.broadcast(boxes), inside)
-    cell = lambda x: F.floor(F.col(x) / BOX_CELL).cast("long")
-    gridded = boxes.withColumn("cy", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("cx", F.explode(F.sequence(cell("west"), cell("east"))))
-    return points.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(gridded, ["cy", "cx"]).filter(inside).drop("cy", "cx")
+    gridded = boxes.withColumn("cy", F.explode(_cells("south", "north", LATITUDES))).withColumn("cx", F.explode(_cells("west", "east", LONGITUDES)))
+    return points.withColumns({"cy": _cell(F.col("lat")), "cx": _cell(F.col("lon"))}).join(gridded, ["cy", "cx"]).filter(inside).drop("cy", "cx")
+
+
+def _cell(x: Column) -> Column:
+    return F.floor(x / BOX_CELL).cast("long")
+
+
+def _cells(low: str, high: str, places: tuple[float, float]) -> Column:
+    """Cells between two bounds, as far as there can be places."""
+    first, last = _cell(F.greatest(F.col(low), F.lit(places[0]))), _cell(F.least(F.col(high), F.lit(places[1])))
+    return F.when(first <= last, F.sequence(first, last))
+
+
+def bands_around(points: DataFrame, boxes: DataFrame, broadcast_boxes: int = BROADCAST_BOXES) -> DataFrame:
+    """Rows of ``points`` with each row of ``boxes`` whose south and north lie around them, wherever it ends east and west."""
+    points = points.filter(is_place(F.col("lat"), F.col("lon")))
+    boxes, inside = boxes.filter("south <= north"), F.col("lat").between(F.col("south"), F.col("north"))
+    if boxes.limit(broadcast_boxes + 1).count() <= broadcast_boxes:
+        return points.join(F.broadcast(boxes), inside)
+    banded = boxes.withColumn("cy", F.explode(_cells("south", "north", LATITUDES)))
+    return points.withColumn("cy", _cell(F.col("lat"))).join(banded, "cy").filter(inside).drop("cy")
 
 
 def entrance_points(entrances: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ the orphans of both sides are put together.
 
 The register is first reduced to disjoint spans in which a key is in force: loads and withdrawals become steps
 of +1 and -1, which are summed per key and instant before the shuffle, opening balances run over one row per
-key and slice, and only then the steps within a slice are ordered. So neither many copies nor a long history of
-one key meets in one task.
+key and slice, and only then the steps within a slice are ordered; an edge finds the next one within its slice or at
+the begin of a later one. So neither many copies nor a long history of one key meets in one task.
 
 A hot key is one with more references or steps than ``hot_share`` of all, so there are at most
 ``2 / hot_share`` of them. Their spans are broadcast only if there are at most ``broadcast_rows``; beyond
@@ -61,9 +61,12 @@ def spans_in_force(steps: DataFrame) -> DataFrame:
     opening = per_slice.select("key", "slice", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("opening"))
     within = Window.partitionBy("key", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     levels = steps.join(opening, ["key", "slice"]).withColumn("level", F.col("opening") + F.sum("step").over(within))
-    edges = levels.filter("(level > 0) <> (level - step > 0)").select("key", "at", (F.col("level") > 0).alias("opens"))
-    following = Window.partitionBy("key").orderBy("at")
-    return edges.withColumn("b", F.lead("at").over(following)).filter("opens").select("key", F.col("at").alias("a"), "b")
+    edges = levels.filter("(level > 0) <> (level - step > 0)").select("key", "slice", "at", (F.col("level") > 0).alias("opens"))
+    # An edge is followed by the next one of its slice, the last one by the first of the next slice that has any.
+    firsts = edges.groupBy("key", "slice").agg(F.min("at").alias("first"))
+    later = firsts.select("key", "slice", F.lead("first").over(Window.partitionBy("key").orderBy("slice")).alias("later"))
+    ordered = edges.withColumn("next", F.lead("at").over(Window.partitionBy("key", "slice").orderBy("at"))).filter("opens")
+    return ordered.join(later, ["key", "slice"]).select("key", F.col("at").alias("a"), F.coalesce("next", "later").alias("b"))
 
 
 def hot_keys(refs: DataFrame, steps: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> list[str]:

@@ -67,6 +67,42 @@ def minted(new: DataFrame, highest: int, prefix: str, *order: Column) -> DataFra
     return rows.withColumn("id", F.concat(F.lit(prefix + "-"), F.lpad((F.col("position") + highest).cast("string"), 6, "0"))).drop("position")
 
 
+def best_two(df: DataFrame, group: str, order: Column, value: str) -> DataFrame:
+    """``(group, first, second)``: the two first distinct values of each group in ``order``; null where there is no second.
+
+    Two aggregations with map-side combine; no group is gathered.
+    """
+    ordered = df.select(group, value, order.alias("__o"))
+    first = ordered.groupBy(group).agg(F.min_by(value, "__o").alias("first"))
+    second = ordered.join(first, group).filter(F.col(value) != F.col("first")).groupBy(group).agg(F.min_by(value, "__o").alias("second"))
+    return first.join(second, group, "left")
+
+
+def counted_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys``, one ``value`` and ``n``, the number of rows, per group."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias(value))
+
+
+def only_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` no other row has; one aggregation, before any join."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in rest]).filter("__n = 1").drop("__n")
+
+
+def paged(df: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """``keys``, ``page`` and ``values``: the values of each group in order, in lists of at most ``size``.
+
+    Rows are numbered over all groups by range partitions, so a group that holds a third of the rows is never one list or
+    one task.
+    """
+    named = df.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col(value).alias("__v"))
+    rows = numbered(named, *[F.col(f"__key_{k}") for k in keys], F.col("__v"), name="__at")
+    first = rows.groupBy(*[F.col(f"__key_{k}").alias(k) for k in keys]).agg(F.min("__at").alias("__first"))
+    # Null groups are groups too.
+    placed = rows.join(first, [F.col(f"__key_{k}").eqNullSafe(F.col(k)) for k in keys]).withColumn("__k", F.col("__at") - F.col("__first"))
+    return placed.groupBy(*keys, F.floor(F.col("__k") / size).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__v"))), lambda r: r["__v"]).alias("values"))
+
+
 def only_match(pairs: DataFrame, probe: list[str]) -> DataFrame:
     """Pairs whose probe side has exactly one partner."""
     single = pairs.groupBy(*probe).agg(F.count("*").alias("__n")).filter("__n = 1").drop("__n")

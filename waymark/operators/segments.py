@@ -26,14 +26,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .contains import automaton
+
 BLOCK_TERMS = 50_000
-#: A term with separators is known when it begins so many cells or pieces.
-MIN_SUPPORT = 3
+#: A term with separators is known when it begins such a share of the pieces that begin with a term, and so many of them.
+SUPPORT_SHARE, MIN_SUPPORT = 1e-4, 3
 
 #: Signs that separate, openers with their closers, quotes with theirs.
 SEPARATORS = "|｜／/、､,，・･;；\n\r\t"
@@ -58,22 +61,35 @@ class Field:
 PLAN_FIELDS = (Field("事業内容", dictionary=True), Field("総事業費千円", thousands=True), Field("資料ページ"), Field("関係市町村", blanks_separate=True))
 
 
+def _closers(cell: str) -> dict[int, int]:
+    """For each bracket that is closed the place of its closer; other kinds of brackets between don't matter."""
+    ends: dict[int, int] = {}
+    for sign, closer in BRACKETS.items():
+        if sign in cell and closer in cell:
+            open_at: list[int] = []
+            for k, c in enumerate(cell):
+                if c == sign:
+                    open_at.append(k)
+                elif c == closer and open_at:
+                    ends[open_at.pop()] = k
+    return ends
+
+
+def _quote_end(cell: str, at: int, last: dict[str, int]) -> int:
+    """Place of the quote that closes the one at ``at``, doubled ones inside skipped; -1 for none."""
+    closer = QUOTES[cell[at]]
+    end = cell.find(closer, at + 1) if at < last.setdefault(closer, cell.rfind(closer)) else -1
+    while end >= 0 and closer == cell[at] and cell[end + 1 : end + 2] == closer:
+        end = cell.find(closer, end + 2)
+    return end
+
+
 def shielded(cell: str) -> bytearray:
     """1 for each sign of ``cell`` that lies in closed quotes or parentheses, these included."""
     mask, at, n = bytearray(len(cell)), 0, len(cell)
+    ends, last = _closers(cell), {}
     while at < n:
-        sign, end = cell[at], -1
-        if sign in QUOTES:
-            end = cell.find(QUOTES[sign], at + 1)
-            while end >= 0 and QUOTES[sign] == sign and cell[end + 1 : end + 2] == sign:
-                end = cell.find(sign, end + 2)
-        elif sign in BRACKETS:
-            depth = 0
-            for k in range(at, n):
-                depth += (cell[k] == sign) - (cell[k] == BRACKETS[sign])
-                if not depth:
-                    end = k
-                    break
+        end = _quote_end(cell, at, last) if cell[at] in QUOTES else ends.get(at, -1)
         if end > at:
             mask[at : end + 1] = b"\x01" * (end + 1 - at)
             at = end
@@ -140,7 +156,8 @@ def split_cell(cell: str, field: Field, spans: list[tuple[int, int]] = ()) -> li
 
 
 def learn_terms(cells: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Names with separators in them that begin at least ``min_support`` cells or hard-separated pieces.
+    """Names with separators in them that begin a share of ``SUPPORT_SHARE`` of the hard-separated pieces that begin
+    with a name, ``min_support`` of them being the least evidence on small tables.
 
     A name whose parts all are names of their own is a list of names, not a name.
     ``cells`` has one column ``cell``.
@@ -150,7 +167,8 @@ def learn_terms(cells: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     heads = cells.select(F.explode(F.split("cell", hard)).alias("piece")).select(F.regexp_extract("piece", rf'(?U)^\s*([^{brackets}"“”]*?)\s*[{brackets}]', 1).alias("term")).filter("term <> ''")
     counts = heads.groupBy("term").agg(F.count("*").alias("n"))
     plain = counts.filter(~F.col("term").rlike(soft)).select("term")
-    packed = counts.filter(F.col("term").rlike(soft) & (F.col("n") >= min_support))
+    least = counts.agg(F.greatest(F.lit(min_support), F.sum("n") * SUPPORT_SHARE).alias("least"))
+    packed = counts.filter(F.col("term").rlike(soft)).join(F.broadcast(least), F.col("n") >= F.col("least")).select("term")
     parts = packed.select("term", F.explode(F.split("term", soft)).alias("part")).withColumn("part", F.trim("part"))
     unknown = parts.filter("part <> ''").join(plain.withColumnRenamed("term", "part"), "part", "left_anti").select("term").distinct()
     return packed.join(unknown, "term", "left_semi").select("term")
@@ -161,16 +179,6 @@ def _blocks(terms: Iterator[str], size: int) -> Iterator[list[str]]:
         yield block
 
 
-def _automaton(terms: list[str]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for term in terms:
-        automaton.add_word(term, len(term))
-    automaton.make_automaton()
-    return automaton
-
-
 def split_cells(df: DataFrame, row: str, fields: tuple[Field, ...] = PLAN_FIELDS, min_support: int = MIN_SUPPORT, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``(row, field, pos, item)`` of all values of the cells that hold at least two."""
     spark = df.sparkSession
@@ -180,14 +188,15 @@ def split_cells(df: DataFrame, row: str, fields: tuple[Field, ...] = PLAN_FIELDS
     guided = [k for k, f in enumerate(fields) if f.dictionary]
     terms = learn_terms(cells.filter(F.col("f").isin(guided)).select("cell"), min_support) if guided else None
     for block in _blocks((r.term for r in terms.toLocalIterator()), block_terms) if guided else ():
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid4().hex
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared.value)
+        def find(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            words = shared.value
+            known = automaton(name, words)
             for batch in batches:
                 found = []
                 for f, cell, spans in zip(batch["f"], batch["cell"], batch["spans"], strict=True):
-                    more = [[end + 1 - size, end + 1] for end, size in automaton.iter(cell)] if f in guided else []
+                    more = [[end + 1 - len(words[k]), end + 1] for end, k in known.iter(cell)] if f in guided else []
                     found.append([list(s) for s in spans] + more)
                 yield pd.DataFrame({"row_no": batch["row_no"].astype(object), "f": batch["f"], "cell": batch["cell"].astype(object), "spans": found})
 

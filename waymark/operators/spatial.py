@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ring edges are broadcast up to this number and joined by latitude bands beyond it.
-BROADCAST_EDGES = 200_000
+BROADCAST_EDGES = 300
 BAND = 0.05
 
 
-def stitched(pieces: Iterable[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from open pieces in any order and direction; raises if pieces are left open."""
-    rest, rings = [list(p) for p in pieces if p], []
-    while rest:
-        ring = rest.pop()
-        while ring[0] != ring[-1]:
-            for k, piece in enumerate(rest):
-                joined = _joined(ring, piece)
-                if joined:
-                    ring = joined
-                    del rest[k]
-                    break
-            else:
-                raise ValueError("the pieces don't close to rings")
-        rings.append(ring)
+def stitched(pieces: Iterable[Sequence[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings from pieces in any order and direction; raises if an end is left open.
+
+    Each place where pieces end is a node and each piece an edge between two nodes. Rings exist if and only if an
+    even number of pieces ends at each node, and then a walk along unused pieces can only end where it began.
+    """
+    lines = [list(p) for p in pieces if p]
+    at_node: dict[tuple[float, float], set[int]] = defaultdict(set)
+    for k, line in enumerate(lines):
+        if line[0] != line[-1]:
+            at_node[line[0]].add(k)
+            at_node[line[-1]].add(k)
+    if loose := [node for node, held in at_node.items() if len(held) % 2]:
+        raise ValueError(f"the pieces don't close at {len(loose)} places, as {loose[0]}")
+    rings = [line for line in lines if line[0] == line[-1]]
+    for start, held in at_node.items():
+        while held:
+            ring, node = [start], start
+            while len(ring) == 1 or node != start:
+                k = min(at_node[node])
+                line = lines[k] if lines[k][0] == node else lines[k][::-1]
+                node = line[-1]
+                ring += line[1:]
+                at_node[line[0]].discard(k)
+                at_node[node].discard(k)
+            rings.append(ring)
     return rings
 
 
-def _joined(ring: list, piece: list) -> list | None:
-    if ring[-1] == piece[0]:
-        return ring + piece[1:]
-    if ring[-1] == piece[-1]:
-        return ring + piece[-2::-1]
-    if ring[0] == piece[-1]:
-        return piece[:-1] + ring
-    if ring[0] == piece[0]:
-        return piece[:0:-1] + ring
-    return None
+def stitched_rings(pieces: DataFrame) -> DataFrame:
+    """``(polygon, role, ring, points)`` from pieces ``(polygon, role, points)``, arrays of (lat, lon).
+
+    The pieces of one outline, which is one row of points afterwards, meet in one task; outlines are independent.
+    """
+    point = "array<struct<lat: double, lon: double>>"
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        rings = stitched([[(p["lat"], p["lon"]) for p in line] for line in group["points"] if line is not None])
+        return pd.DataFrame({"polygon": [group["polygon"].iloc[0]] * len(rings), "role": [group["role"].iloc[0]] * len(rings), "ring": range(1, len(rings) + 1), "points": [[{"lat": y, "lon": x} for y, x in ring] for ring in rings]})
+
+    kinds = dict(pieces.dtypes)
+    return pieces.groupBy("polygon", "role").applyInPandas(join, f"polygon {kinds['polygon']}, role string, ring int, points {point}")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ from .registry import Registry
 query = Registry()
 
 
-@query(views.sql("road") + " SELECT name, count(*) AS n, min(k) AS lowest, max(k) AS highest, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS members FROM road GROUP BY name")
+@query(views.sql("road") + " SELECT name, (r - 1) // 100 AS page, count(*) AS n, min(k) AS lowest, max(k) AS highest, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS members FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k) AS r FROM road) GROUP BY 1, 2")
 def group_collect(spark, folder):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), ",")
-    return views.road(spark, folder).groupBy("name").agg(F.count("*").alias("n"), F.min("k").alias("lowest"), F.max("k").alias("highest"), keys.alias("members"))
+    pages = rank.paged(views.road(spark, folder), ["name"], "k", 100)
+    at = lambda k: F.element_at("values", k)
+    return pages.select("name", "page", F.size("values").cast("long").alias("n"), at(1).alias("lowest"), at(-1).alias("highest"), F.array_join(F.transform("values", lambda k: k.cast("string")), ",").alias("members"))
 
 
 @query("""WITH f AS (SELECT 関係市町村 AS m, 事業型 AS v, min(plan_row) AS pos FROM nagano_current_plan WHERE coalesce(事業型, '') <> '' GROUP BY ALL)
@@ -116,15 +117,18 @@ def reserve_anti(spark, folder):
 @query("""SELECT name, other FROM (SELECT a.name, b.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY length(b.name) DESC, b.name) AS r FROM (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS w FROM part) a JOIN (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS w FROM part) b ON a.w = b.w AND a.name <> b.name) WHERE r = 1""")
 def best_name_match(spark, folder):
     distinct = load(spark, folder, "part").select(F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    pairs = distinct.join(distinct.withColumnRenamed("name", "other"), "w").filter("name <> other")
-    return rank.first_by(pairs, ["name"], -F.length("other"), F.col("other")).select("name", "other")
+    # The order doesn't depend on who asks, so the best two of a word answer all of its names.
+    best = rank.best_two(distinct, "w", F.struct(-F.length("name"), F.col("name")), "name")
+    return distinct.join(best, "w").select("name", F.when(F.col("name") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other")).filter("other IS NOT NULL")
 
 
-@query(views.sql("road") + " SELECT k, 'NGN-' || lpad(CAST((SELECT max(k) FROM road) + row_number() OVER (ORDER BY name, lat, lon, k) AS VARCHAR), 6, '0') AS id FROM road WHERE k % 3 = 0")
+@query(views.sql("road") + " SELECT k, 'NGN-' || lpad(CAST((SELECT max(k) FROM road) + row_number() OVER (ORDER BY name, lat, lon, k) AS VARCHAR), 6, '0') AS id FROM road WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = k AND l_quantity > 45)")
 def mint_ids(spark, folder):
     roads = views.road(spark, folder)
     highest = roads.agg(F.max("k")).first()[0] or 0
-    return rank.minted(roads.filter("k % 3 = 0").select("k", "name", "lat", "lon"), highest, "NGN", F.col("name"), F.col("lat"), F.col("lon"), F.col("k")).select("k", "id")
+    # New are the roads that another table doesn't know.
+    known = load(spark, folder, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("k")).distinct()
+    return rank.minted(roads.select("k", "name", "lat", "lon").join(known, "k", "left_anti"), highest, "NGN", F.col("name"), F.col("lat"), F.col("lon"), F.col("k")).select("k", "id")
 
 
 @query("SELECT cid, eid FROM (SELECT o_custkey AS cid, o_orderkey AS eid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -164,8 +168,8 @@ def join_normalized(spark, folder):
 @query(views.sql("road") + " SELECT a.id, b.brand AS other FROM (SELECT id, name, muni FROM road WHERE size < 10) a JOIN (SELECT name, muni, min(brand) AS brand, count(*) AS n FROM road WHERE size >= 10 GROUP BY 1, 2) b ON a.name = b.name AND a.muni = b.muni AND b.n = 1")
 def unique_match_join(spark, folder):
     roads = views.road(spark, folder)
-    pairs = roads.filter("size < 10").select("id", "name", "muni").join(roads.filter("size >= 10").select("name", "muni", F.col("brand").alias("other")), ["name", "muni"])
-    return rank.only_match(pairs, ["id"]).select("id", "other")
+    single = rank.only_of(roads.filter("size >= 10").select("name", "muni", F.col("brand").alias("other")), ["name", "muni"])
+    return roads.filter("size < 10").select("id", "name", "muni").join(single, ["name", "muni"]).select("id", "other")
 
 
 @query("SELECT plan_row, region_name FROM (SELECT DISTINCT plan_row, unnest(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+')) AS m FROM nagano_current_plan) JOIN municipality_bounds ON m = municipality")
@@ -177,18 +181,22 @@ def explode_join(spark, folder):
 @query("WITH s AS (SELECT plan_row, 林道名 AS name, list_filter(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+'), lambda x: x <> '') AS m FROM nagano_current_plan) SELECT a.plan_row AS first_row, b.plan_row AS second_row FROM s a JOIN s b ON a.name = b.name AND a.plan_row < b.plan_row AND list_has_any(a.m, b.m)")
 def overlap_join(spark, folder):
     s = load(spark, folder, "nagano_current_plan").select("plan_row", F.col("林道名").alias("name"), F.filter(F.split("関係市町村", r"[・／/,、 |\n]+"), lambda x: x != "").alias("m"))
-    a, b = s.select(F.col("plan_row").alias("first_row"), "name", F.col("m").alias("m1")), s.select(F.col("plan_row").alias("second_row"), "name", F.col("m").alias("m2"))
-    return a.join(b, "name").filter((F.col("first_row") < F.col("second_row")) & F.arrays_overlap("m1", "m2")).select("first_row", "second_row")
+    # Rows meet per name and municipality, not per name alone; a pair that shares several counts once.
+    s = s.select("plan_row", "name", F.explode(F.array_distinct("m")).alias("m"))
+    pairs = s.withColumnRenamed("plan_row", "first_row").join(s.withColumnRenamed("plan_row", "second_row"), ["name", "m"])
+    return pairs.filter("first_row < second_row").select("first_row", "second_row").distinct()
 
 
-@query(views.sql("road") + """, p AS (SELECT id, name, muni FROM road WHERE size <= 5), t AS (SELECT k, name, muni FROM road WHERE size > 45), r AS (SELECT p.id, t.k FROM p JOIN t ON p.name = t.name AND p.muni = t.muni),
+@query(views.sql("road") + """, p AS (SELECT id, name, muni FROM road WHERE size <= 25), t AS (SELECT k, name, muni FROM road WHERE size > 25), r AS (SELECT p.id, t.k FROM p JOIN t ON p.name = t.name AND p.muni = t.muni),
 f AS (SELECT p.id, t.k FROM p JOIN t ON p.name = t.name WHERE length(p.name) >= 4 AND p.id NOT IN (SELECT id FROM r)), u AS (SELECT * FROM r UNION ALL SELECT * FROM f) SELECT id, min(k) AS k FROM u GROUP BY id HAVING count(*) = 1""")
 def fallback_unique_join(spark, folder):
     roads = views.road(spark, folder)
-    probe, other = roads.filter("size <= 5").select("id", "name", "muni"), roads.filter("size > 45").select("k", "name", "muni")
-    regional = probe.join(other, ["name", "muni"]).select("id", "k")
-    rest = probe.join(regional.select("id").distinct(), "id", "left_anti").filter("length(name) >= 4").join(other.drop("muni"), "name").select("id", "k")
-    return rank.only_match(regional.unionByName(rest), ["id"])
+    probe, other = roads.filter("size <= 25").select("id", "name", "muni"), roads.filter("size > 25").select("k", "name", "muni")
+    # Partners are counted per key before they meet, so a hot name forms no pairs.
+    regional = probe.join(rank.counted_of(other, ["name", "muni"], "k"), ["name", "muni"], "left")
+    found = regional.filter("n = 1").select("id", "k")
+    rest = regional.filter("n IS NULL AND length(name) >= 4").select("id", "name").join(rank.only_of(other.select("k", "name"), ["name"]), "name").select("id", "k")
+    return found.unionByName(rest)
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM mix_targets m WHERE m.source = d.source AND m.max_repeats > 1)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names, web
 from ..functions.geo import great_circle_m
 from ..functions.text import NARROW_ASCII, OTHER_BLANKS, WIDE_ASCII
+from ..operators import contains
 from ..sources.tables import load
 from . import views
 from .registry import Registry
@@ -117,10 +118,14 @@ def split_set(spark, folder):
     return load(spark, folder, "nagano_current_plan").select("plan_row", F.array_join(F.array_sort(F.array_distinct(parts)), "|").alias("municipalities"))
 
 
-@query("SELECT loc_row, TRY_CAST(出口緯度 AS DOUBLE) AS lat, TRY_CAST(出口緯度 AS DOUBLE) IS NOT NULL AS valid FROM suwa_chino_locations WHERE regexp_matches(coalesce(出口緯度, ''), '^[ -~]*$')")
+_COORDINATES = {"表示緯度": "display_lat", "表示経度": "display_lon", "入口緯度": "entry_lat", "入口経度": "entry_lon", "出口緯度": "exit_lat", "出口経度": "exit_lon"}
+
+
+@query("SELECT loc_row, " + ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {n}" for c, n in _COORDINATES.items()) + ", CAST(" + " + ".join(f"CASE WHEN {c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL THEN 1 ELSE 0 END" for c in _COORDINATES) + " AS INTEGER) AS unusable FROM suwa_chino_locations")
 def try_cast(spark, folder):
-    lat = F.col("出口緯度").try_cast("double")
-    return load(spark, folder, "suwa_chino_locations").filter(F.coalesce("出口緯度", F.lit("")).rlike("^[ -~]*$")).select("loc_row", lat.alias("lat"), lat.isNotNull().alias("valid"))
+    numbers = [F.col(c).try_cast("double") for c in _COORDINATES]
+    unusable = sum(((F.col(c).isNotNull() & n.isNull()).cast("int") for c, n in zip(_COORDINATES, numbers, strict=True)), F.lit(0))
+    return load(spark, folder, "suwa_chino_locations").select("loc_row", *[n.alias(name) for n, name in zip(numbers, _COORDINATES.values(), strict=True)], unusable.alias("unusable"))
 
 
 @query("SELECT o_orderkey, 'NGN-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS id, CAST(split_part('NGN-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), '-', 2) AS INTEGER) = o_orderkey AS same FROM orders")
@@ -192,11 +197,10 @@ def name_variants(spark, folder):
 
 @query("WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part) SELECT name, word, CAST(CASE WHEN name = word THEN 100 WHEN contains(name, word) THEN 80 ELSE 60 END AS INTEGER) AS score, CAST(length(word) AS INTEGER) AS len FROM n JOIN w ON name = word OR contains(name, word) OR contains(word, name)")
 def name_score(spark, folder):
-    # Words are looked up by the words of a name, so names and words meet by an equi-join.
+    # Words are found in names by an automaton, one pass over the names.
     distinct = load(spark, folder, "part").select(F.col("p_name").alias("name")).distinct()
     words = distinct.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    spans = F.expr("array_distinct(flatten(transform(sequence(1, length(name)), a -> transform(sequence(1, length(name) - a + 1), n -> substring(name, a, n)))))")
-    pairs = distinct.select("name", F.explode(spans).alias("word")).join(words, "word")
+    pairs = contains.terms_in_texts(distinct.select("name", F.col("name").alias("text")), "name", "text", words, "word")
     return pairs.select("name", "word", names.name_likeness(F.col("name"), F.col("word")).alias("score"), F.length("word").alias("len"))
 
 

@@ -28,10 +28,9 @@ def bbox_margin(spark, folder):
 
 @query(views.sql("road", "box") + " SELECT id, count(*) FILTER (ok) AS verified, count(*) FILTER (NOT ok) AS rejected FROM (SELECT id, lon BETWEEN west AND east AS ok FROM road JOIN box ON lat BETWEEN south AND north) GROUP BY 1")
 def match_reject_counts(spark, folder):
-    # Boxes are a dimension; the join is on one axis, the other decides.
+    # The join is on one axis, the other decides.
     boxes = views.box(spark, folder).select("south", "north", "west", "east")
-    bands = boxes.withColumns({"w": F.col("west"), "e": F.col("east")}).drop("west", "east").withColumns({"west": F.lit(-180.0), "east": F.lit(180.0)})
-    hits = nearby.boxes_around(views.road(spark, folder).select("id", "lat", "lon"), bands).withColumn("ok", F.col("lon").between(F.col("w"), F.col("e")))
+    hits = nearby.bands_around(views.road(spark, folder).select("id", "lat", "lon"), boxes).withColumn("ok", F.col("lon").between(F.col("west"), F.col("east")))
     return hits.groupBy("id").agg(F.count_if("ok").alias("verified"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
@@ -91,16 +90,22 @@ def connected_components(spark, folder):
     return _components(spark, folder)
 
 
-@query(_component_sql("""SELECT s.component, s.n, b.brand, s.lat_e5, s.lon_e5, s.members
-FROM (SELECT component, count(*) AS n, CAST(round(sum(lat * 1e5)) AS BIGINT) // count(*) AS lat_e5, CAST(round(sum(lon * 1e5)) AS BIGINT) // count(*) AS lon_e5, string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) AS members FROM comp JOIN road ON v = k GROUP BY 1) s
+@query(_component_sql("""SELECT s.component, s.n, b.brand, s.lat_e5, s.lon_e5, s.lowest, s.highest
+FROM (SELECT component, count(*) AS n, CAST(round(sum(lat * 1e5)) AS BIGINT) // count(*) AS lat_e5, CAST(round(sum(lon * 1e5)) AS BIGINT) // count(*) AS lon_e5, min(v) AS lowest, max(v) AS highest FROM comp JOIN road ON v = k GROUP BY 1) s
 JOIN (SELECT component, brand, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, min(v), brand) AS r FROM comp JOIN road ON v = k GROUP BY 1, 2) b ON s.component = b.component AND r = 1"""))
 def component_summary(spark, folder):
     rows = _components(spark, folder).join(views.road(spark, folder).select(F.col("k").alias("v"), "brand", "lat", "lon"), "v")
     centre = lambda c: F.floor(F.round(F.sum(F.col(c) * 1e5)).cast("long") / F.count("*")).alias(c + "_e5")
     brand = rank.mode_first(rows, ["component"], "brand", "v").select("component", "brand")
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v.cast("string")), "/")
-    sums = rows.groupBy("component").agg(F.count("*").alias("n"), centre("lat"), centre("lon"), members.alias("members"))
-    return sums.join(brand, "component").select("component", "n", "brand", "lat_e5", "lon_e5", "members")
+    # Members are rows of ``connected_components``; a component of any size is one row of numbers here.
+    sums = rows.groupBy("component").agg(F.count("*").alias("n"), centre("lat"), centre("lon"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    return sums.join(brand, "component").select("component", "n", "brand", "lat_e5", "lon_e5", "lowest", "highest")
+
+
+@query(_component_sql("SELECT component, CAST((r - 1) // 50 AS BIGINT) AS page, string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) AS members FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY v) AS r FROM comp) GROUP BY 1, 2"))
+def component_members(spark, folder):
+    pages = rank.paged(_components(spark, folder), ["component"], "v", 50)
+    return pages.select("component", "page", F.array_join(F.transform("values", lambda v: v.cast("string")), "/").alias("members"))
 
 
 def _ring_sql(ring: list[tuple[float, float]], role: str) -> str:
@@ -114,6 +119,19 @@ def point_in_polygon(spark, folder):
     return spatial.points_in_polygons(points, rings).select(F.col("point").alias("id"))
 
 
+@query(views.sql("box") + " SELECT name AS polygon, CAST(5 AS INTEGER) AS n_points, CAST(round((north - south) * (east - west) * 1e6) AS BIGINT) AS area FROM box WHERE south < north AND west < east")
+def stitched_rings(spark, folder):
+    # The sides of each box, every other one turned round, in an order of their own.
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
+    sw, se, ne, nw = corner("south", "west"), corner("south", "east"), corner("north", "east"), corner("north", "west")
+    sides = F.array(F.array(ne, nw), F.array(sw, se), F.array(sw, nw), F.array(ne, se))
+    pieces = views.box(spark, folder).filter("south < north AND west < east").select(F.col("name").alias("polygon"), F.lit("outer").alias("role"), F.explode(sides).alias("points"))
+    rings = spatial.stitched_rings(pieces)
+    turns = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda k: F.get("points", k)["lon"] * F.get("points", k + 1)["lat"] - F.get("points", k + 1)["lon"] * F.get("points", k)["lat"])
+    area = F.abs(F.aggregate(turns, F.lit(0.0), lambda a, x: a + x)) / 2
+    return rings.select("polygon", F.size("points").alias("n_points"), F.round(area * 1e6).cast("long").alias("area"))
+
+
 @query()
 def greedy_assign(spark, folder):
     # Each order claims the candidates of its customer's neighbourhood; earlier orders go first.
