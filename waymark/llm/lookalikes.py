@@ -6,8 +6,8 @@ collation ``UNICODE``, which also makes canonically equivalent texts and texts t
 one. A deterministic member of each class is its canonical form, and it is joined back.
 
 Which of two twins (``ロ`` or ``口``) belongs in a place is learned from all values: a run of kana is a word if it is
-common, more so than the same run with kanji for twins, and not just a word with a twin beside it; twins inside a word are kana, others are what isolated twins mostly are
-in the whole corpus. The canonical member is the member that has every twin where it belongs and no unusual sign;
+common, more so than the same run with kanji for twins, and not just a word with a twin beside it; twins inside a word
+are kana, others are what isolated twins mostly are in the whole corpus. The canonical member is the member that has every twin where it belongs and no unusual sign;
 if there is none, that form itself.
 
 Defined results: null stays null; an empty text is its own form; letter case, old and new forms of kanji, linking
@@ -17,7 +17,6 @@ row in every step but the last join, where its form is broadcast.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -41,8 +40,11 @@ RADICALS = ("⺁⺄⺇⺈⺊⺎⺏⺐⺒⺓⺔⺖⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣
 TWIN_KANA, TWIN_KANJI = "ロハタニエトカミチオヌー", "口八夕二工卜力三千才又一"
 #: Ordinary signs between which a word goes on.
 NOISE = r" \-.,*・()「」『』。、_/'\""
-#: A run of kana is a word from so many different values on, if more values have it than its skeleton with kanji,
-WORD_SUPPORT = 5
+#: A run of kana is a word if such a share of the distinct values has it, and so many of them as the least evidence, if
+#: more values have it than its skeleton with kanji,
+WORD_SHARE, WORD_SUPPORT = 2e-5, 5
+#: has at most so many signs,
+LONGEST_WORD = 32
 #: and if no word with a twin beside it explains it, that is, none that is so many times as common.
 WORD_RATIO = 10
 
@@ -114,17 +116,19 @@ def kana_words(values: DataFrame, support: int = WORD_SUPPORT, ratio: int = WORD
     compact = F.regexp_replace("value", f"[{NOISE}]", "")
     places = values.select(F.monotonically_increasing_id().alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(compact, F.lit(f"([ァ-ヶー{TWIN_KANJI}]{{2,}})"), F.lit(1)))).alias("place"))
     units = F.regexp_extract_all("place", F.lit(f"([ァ-ヶー]+|[{TWIN_KANJI}])"), F.lit(1))
-    spelled = places.select("id", units.alias("u")).select("id", F.explode(F.expr("flatten(transform(sequence(1, size(u)), a -> transform(sequence(1, size(u) - a + 1), n -> array_join(slice(u, a, n), ''))))")).alias("spelling"))
-    spelled = spelled.select("id", F.translate("spelling", TWIN_KANJI, TWIN_KANA).alias("word"), "spelling").filter(F.length("word") > 1)
+    spelled = places.select("id", units.alias("u")).select("id", F.explode(F.expr(f"flatten(transform(sequence(1, size(u)), a -> transform(sequence(1, least({LONGEST_WORD}, size(u) - a + 1)), n -> array_join(slice(u, a, n), ''))))")).alias("spelling"))
+    spelled = spelled.select("id", F.translate("spelling", TWIN_KANJI, TWIN_KANA).alias("word"), "spelling").filter(F.length("word").between(2, LONGEST_WORD))
     # A word must hold a kana that is no twin, else two kanji in a row might be taken for one.
     spelled = spelled.filter(F.translate("word", TWIN_KANA, "") != "").select("id", "word", (F.col("spelling") == F.col("word")).alias("kana")).distinct()
     counts = spelled.groupBy("word").agg(F.count_if("kana").alias("n"), F.count_if(~F.col("kana")).alias("other"))
-    counts = counts.filter((F.col("n") >= support) & (F.col("n") > F.col("other"))).select("word", "n")
-    n = len(TWIN_KANA)
+    least = values.agg(F.greatest(F.lit(support), F.count("*") * WORD_SHARE).alias("least"))
+    counts = counts.filter("n > other").join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n")
+    # Read three times below; words are few against the values they come from.
+    counts = cut_lineage(counts)
     cut = F.expr("filter(array(substring(word, 2), left(word, length(word) - 1)), (p, i) -> length(p) > 1)")
     beside = F.array(F.left("word", F.lit(1)), F.right("word", F.lit(1)))
     shorter = counts.select("word", "n", F.explode(F.arrays_zip(cut.alias("part"), beside.alias("sign"))).alias("z")).select("word", "n", "z.part", "z.sign")
-    shorter = shorter.filter((F.translate("sign", TWIN_KANA, "") == "") & F.col("sign").isNotNull() & F.col("part").isNotNull()) if n else shorter
+    shorter = shorter.filter((F.translate("sign", TWIN_KANA, "") == "") & F.col("sign").isNotNull() & F.col("part").isNotNull())
     explained = shorter.join(counts.select(F.col("word").alias("part"), F.col("n").alias("m")), "part").filter(F.col("m") >= ratio * F.col("n"))
     return counts.join(explained.select("word").distinct(), "word", "left_anti").select("word")
 
@@ -134,18 +138,18 @@ def _hidden_twins() -> str:
 
 
 def settled(values: DataFrame, words: DataFrame) -> DataFrame:
-    """``(skeleton, usual)`` for each distinct skeleton of ``value``: the form with every twin where it belongs."""
-    shapes = values.select(skeleton(F.col("value")).alias("skeleton")).distinct()
+    """``(skeleton, usual)`` for each distinct skeleton of ``(value, skeleton)``: the form with every twin where it belongs."""
+    shapes = values.select("skeleton").distinct()
     shapes = shapes.withColumn("compact", F.regexp_replace("skeleton", f"[{NOISE}]", ""))
     twin = f"[{TWIN_KANA}]"
     open_shapes = shapes.filter(F.col("compact").rlike(twin))
     runs = open_shapes.select("skeleton", F.explode(F.regexp_extract_all("compact", F.lit("([ァ-ヶー]{2,})"), F.lit(1))).alias("run")).distinct()
-    pieces = runs.select("skeleton", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(run) - 1), a -> transform(sequence(2, length(run) - a + 1), n -> substring(run, a, n)))))")).alias("word"))
+    pieces = runs.select("skeleton", F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, length(run) - 1), a -> transform(sequence(2, least({LONGEST_WORD}, length(run) - a + 1)), n -> substring(run, a, n)))))")).alias("word"))
     held = pieces.join(words, "word").groupBy("skeleton").agg(F.sort_array(F.collect_set(F.struct((-F.length("word")).alias("n"), "word"))).alias("words"))
     hidden = _hidden_twins()
     text = open_shapes.join(held, "skeleton", "left")
     marked = F.coalesce(F.aggregate("words", F.col("compact"), lambda s, w: F.replace(s, w["word"], F.translate(w["word"], TWIN_KANA, hidden))), F.col("compact"))
-    text = text.select("skeleton", "compact", marked.alias("marked"))
+    text = cut_lineage(text.select("skeleton", "compact", marked.alias("marked")))
     kanji = isolated_as_kanji(values, text)
     base = "".join(kanji.get(k, k) for k in TWIN_KANA)
     usual = F.translate(F.translate("marked", TWIN_KANA, base), hidden, TWIN_KANA)
@@ -159,7 +163,7 @@ def settled(values: DataFrame, words: DataFrame) -> DataFrame:
 
 def isolated_as_kanji(values: DataFrame, text: DataFrame) -> dict[str, str]:
     """For each twin kana its kanji, if outside words the kanji is what the values mostly hold (12 rows at most)."""
-    stored = values.withColumn("skeleton", skeleton(F.col("value"))).join(text.select("skeleton", "marked"), "skeleton")
+    stored = values.join(text.select("skeleton", "marked"), "skeleton")
     stored = stored.select(F.regexp_replace("value", f"[{NOISE}]", "").alias("value"), "marked")
     signs = stored.select(F.explode(F.arrays_zip(F.split("value", "").alias("stored"), F.split("marked", "").alias("marked"))).alias("z")).select("z.stored", "z.marked")
     counts = signs.filter(F.col("marked").isin(list(TWIN_KANA))).groupBy("stored").agg(F.count("*").alias("n"))
@@ -170,11 +174,12 @@ def isolated_as_kanji(values: DataFrame, text: DataFrame) -> dict[str, str]:
 def canonical_forms(names: DataFrame) -> DataFrame:
     """``(name, canonical)`` for each distinct non-null ``name``."""
     spark = names.sparkSession
-    # Both are read many times; cut here, plans stay small enough for the driver.
-    stored = cut_lineage(names.filter("name IS NOT NULL").select("name").distinct().withColumn("value", plain(F.col("name"))))
-    values = stored.select("value").distinct()
-    shapes = settled(values, cut_lineage(kana_words(values)))
-    members = stored.withColumn("skeleton", skeleton(F.col("value"))).join(shapes, "skeleton")
+    # These are read many times; cut here, signs are mapped once and plans stay small.
+    stored = names.filter("name IS NOT NULL").select("name").distinct().withColumn("value", plain(F.col("name")))
+    stored = cut_lineage(stored.withColumn("skeleton", skeleton(F.col("value"))))
+    values = stored.select("value", "skeleton").distinct()
+    shapes = settled(values, kana_words(values))
+    members = cut_lineage(stored.drop("value").join(shapes, "skeleton"))
     # In SQL: a class is a skeleton under the collation; its canonical form is the member that is in the least
     # unusual form of the class, or that form where no member is.
     return spark.sql(
