@@ -3,9 +3,15 @@
 Method: collective graph linkage. Entities (distinct name and municipality, on the map side per road ID) are nodes.
 Candidate edges come from shared attributes of the names within a municipality and a number, letter or branch.
 Meta-blocking prunes them: a name is looked up only by two of its rarest signs, out of as many as make it impossible to
-miss a name with so few edits that it is a link, and edges below ``LINK`` go. The others are weighted by the rarity of
-all pairs of neighbouring signs they share and refined until stable: what is linked for sure to a road becomes another
-spelling of it, and a spelling close to one of these raises the edge.
+miss a name with so few edits that it is a link, and edges below ``LINK`` go. Where a name has several candidates they
+are weighted by the rarity of all pairs of neighbouring signs they share.
+
+Scores are then refined from the neighbours until they are stable. Neighbours of a plan entity are the entities of the same
+place whose names are a sure edge (``SURE``) from its own; each passes on what it has for the road it is itself best
+linked to, half of its doubt being taken as a misspelling both share:
+``score(e, r) = max(likeness(e, r), w(e, n) * (1 + score(n, r)) / 2)``. So a spelling can be linked over others that are
+none of the map's, and a neighbour that belongs to another road speaks for that road. Scores only rise, each round is
+worked out for what the round before has raised, and the last one is that in which nothing rises by ``STABLE``.
 
 Roads of one name with other numbers, letters or branches, or in other municipalities, never share an attribute.
 A municipality that is missing is taken from the row's source text, then from other rows of the same road ID;
@@ -20,6 +26,8 @@ count; a row's weaker candidates don't; empty tables give no pairs.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +35,13 @@ from ..functions.text import let
 from ..session import cut_lineage
 from .lookalikes import TWIN_KANA, TWIN_KANJI, plain
 
-#: Edges of at least so high a likeness are links, and from there on spellings of the road.
+#: Edges of at least so high a likeness are links, and from there on they pass scores on.
 LINK, SURE = 0.6, 0.79
 FULL_LENGTH = 6
-#: Likeness lost with each step of propagation, and the most steps.
-DECAY, STEPS = 0.9, 6
+#: Scores that rise by less are stable.
+STABLE = 0.01
+
+_log = logging.getLogger(__name__)
 
 #: Old or variant forms of kanji and the new ones.
 OLD_KANJI = "澤瀧濱廣櫻嶽峯嶋嶌檜鹽邊邉齋齊國學體區醫驛圓應櫸會繪價畫擴覺樂觀關歸舊據擧曉勳縣嚴廣恆黃號齒實寫釋壽收從澁獸縱肅處敍將燒證條狀乘淨疊讓眞圖隨聲靜攝專戰淺潛錢禪雙總藏臟續墮對瀧擇澤單團彈晝鑄聽鎭鐵點傳黨當稻鬪讀惱發拜賣麥秡濱拂佛變辨寶豐萬滿默藥與豫餘樣搖謠來覽龍兩獵綠壘禮靈齡勞樓灣峽狹莖藝蠶櫃桝舘塚彌龜增德都神福祥"
@@ -83,14 +93,33 @@ def municipality_keys(cell: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Number of edits between two short texts, where two neighbours that change places are one."""
-
-    def distance(counts: Column) -> Column:
-        return counts["bag"] + F.ceil((F.greatest(counts["lev"], counts["bag"]) - counts["bag"]) / 2).cast("int")
+    """Edits between two short texts: signs put in, left out, replaced, or two neighbours that change places.
 
+    No sign is edited twice (restricted transposition distance). Signs that one text has and the other lacks are a lower
+    bound, the distance without transpositions an upper one; only where they differ the distance is worked out.
+    """
     count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
     common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
-    return let(F.struct(F.levenshtein(a, b).alias("lev"), (F.greatest(F.length(a), F.length(b)) - common).alias("bag")), distance)
+    bounds = F.struct(F.levenshtein(a, b).alias("most"), (F.greatest(F.length(a), F.length(b)) - common).alias("least"))
+    return let(bounds, lambda n: F.when(n["least"] == n["most"], n["most"]).otherwise(_transposed(a, b)))
+
+
+def _transposed(a: Column, b: Column) -> Column:
+    """The distance of ``edits`` row by row; neither text is empty."""
+    sign = lambda t, k: F.substring(t, k, F.lit(1))
+    first = F.sequence(F.lit(0), F.length(b))
+
+    def cell(rows: Column, row: Column, i: Column, j: Column) -> Column:
+        at = lambda r, k: F.get(r, k)
+        replaced = at(rows["last"], j - 1) + F.when(sign(a, i) == sign(b, j), 0).otherwise(1)
+        turned = (i > 1) & (j > 1) & (sign(a, i) == sign(b, j - 1)) & (sign(a, i - 1) == sign(b, j))
+        return F.least(at(row, j - 1) + 1, at(rows["last"], j) + 1, replaced, F.when(turned, at(rows["before"], j - 2) + 1))
+
+    def row(rows: Column, i: Column) -> Column:
+        cells = F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), lambda r, j: F.array_append(r, cell(rows, r, i, j)))
+        return F.struct(rows["last"].alias("before"), cells.alias("last"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(a)), F.struct(first.alias("before"), first.alias("last")), row, lambda rows: F.element_at(rows["last"], -1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -137,22 +166,27 @@ def _rare_pairs(stems: DataFrame) -> DataFrame:
     return ordered.select("stem", pairs.alias("pairs"))
 
 
+def _place() -> Column:
+    return F.xxhash64("muni", "tail").alias("place")
+
+
 def _alike(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(muni, tail, stem, alias)``: all pairs of ``(muni, tail, stem)`` and ``(muni, tail, alias)`` that are links."""
+    """``(place, stem, alias)``: all pairs of ``(place, stem)`` and ``(place, alias)`` that are links."""
     aliases = aliases.withColumnRenamed("alias", "stem")
     pairs = cut_lineage(_rare_pairs(names.select("stem").union(aliases.select("stem")).distinct()))
     # Blocks travel as hashes: a chance collision costs one comparison.
-    place = F.xxhash64("muni", "tail").alias("place")
-    blocks = lambda df, *columns: df.join(pairs, "stem").select(*columns, place, F.explode("pairs").alias("pair")).withColumn("block", F.xxhash64("place", "pair")).drop("pair")
-    both = blocks(names, "muni", "tail", "stem").join(blocks(aliases, F.col("stem").alias("alias")), ["block", "place"])
+    blocks = lambda df, *columns: df.join(pairs, "stem").select(*columns, "place", F.explode("pairs").alias("pair")).withColumn("block", F.xxhash64("place", "pair")).drop("pair")
+    both = blocks(names, "stem").join(blocks(aliases, F.col("stem").alias("alias")), ["block", "place"])
     longest = F.greatest(F.length("stem"), F.length("alias"))
     near = (F.abs(F.length("stem") - F.length("alias")) <= most_edits(longest)) & (F.levenshtein("stem", "alias", 2 * int((1 - LINK) * FULL_LENGTH + 1e-9)) >= 0)
-    both = both.filter(near).select("muni", "tail", "stem", "alias").distinct()
-    return both.filter(likeness(F.col("stem"), F.col("alias")) >= LINK)
+    both = both.filter(near).select("place", "stem", "alias").distinct()
+    return both.withColumn("alike", likeness(F.col("stem"), F.col("alias"))).filter(F.col("alike") >= LINK)
 
 
 def _with_entity(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("entity", F.xxhash64(*columns))
+    """``df`` with ``entity``, a digest of its columns long enough to stand for them."""
+    texts = [F.array_join(c, "\x1e") if kind.startswith("array") else F.col(c) for c, kind in ((c, df.schema[c].dataType.simpleString()) for c in columns)]
+    return df.withColumn("entity", F.unhex(F.md5(F.concat_ws("\x1f", *texts))))
 
 
 def link(plan: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -173,54 +207,64 @@ def link(plan: DataFrame, mapped: DataFrame) -> DataFrame:
     known = spots.filter("muni IS NOT NULL").groupBy("road").agg(F.min("muni").alias("other"), F.count_distinct("muni").alias("n")).filter("n = 1")
     spots = spots.join(known.select("road", "other"), "road", "left").select("road", "stem", "tail", F.coalesce("muni", "other").alias("muni")).distinct()
 
-    edges = _candidates(entities, spots)
-    edges = edges.unionByName(_without_municipality(entities, spots))
-    links = _refined(cut_lineage(edges), entities)
+    looked = cut_lineage(entities.select("entity", "stem", "tail", F.explode("munis").alias("muni")).select("entity", "stem", "muni", "tail", _place()))
+    edges = _candidates(looked, spots).unionByName(_without_municipality(entities, spots))
+    links = _refined(cut_lineage(edges), looked)
     return _best(links).join(plan.select("entity", "plan_row"), "entity").join(mapped.select("road", "map_row"), "road").select("plan_row", "map_row", F.round("confidence", 4).alias("confidence"))
 
 
-def _candidates(entities: DataFrame, spots: DataFrame) -> DataFrame:
-    """``(entity, road, stem, alias, overlap)``: edges of likeness ``LINK`` between plan entities and spellings of roads.
-
-    Edges below it can't be raised to it: a spelling that is sure is one edit from its road and raises what is one edit
-    from itself, and two edits are a link.
-    """
-    looked = entities.select("entity", "stem", "tail", F.explode("munis").alias("muni"))
-    placed = spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "tail", "muni")
-    pairs = cut_lineage(_alike(looked.select("muni", "tail", "stem").distinct(), placed.select("muni", "tail", "alias").distinct()))
-    block = F.xxhash64("muni", "tail", "attribute").alias("block")
-    total = spots.count() or 1
-    rarity = placed.select("tail", "muni", F.explode(_attributes(F.col("alias"))).alias("attribute")).groupBy(block).agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
-    keys = pairs.select("muni", "tail", "stem", "alias", F.explode(_attributes(F.col("stem"))).alias("attribute"), _attributes(F.col("alias")).alias("others"))
-    keys = keys.select("muni", "tail", "stem", "alias", block, F.array_contains("others", F.col("attribute")).alias("shared"))
+def _candidates(looked: DataFrame, spots: DataFrame) -> DataFrame:
+    """``(entity, road, score, overlap)``: edges of likeness ``LINK`` between plan entities and roads."""
+    placed = cut_lineage(spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "muni", "tail", _place()).distinct())
+    pairs = cut_lineage(_alike(looked.select("place", "stem").distinct(), placed.select("place", "alias").distinct()))
+    mine = looked.select("place", "stem", "entity", "muni", "tail")
+    other = placed.select("place", "alias", "road", F.col("muni").alias("__muni"), F.col("tail").alias("__tail"))
+    # Places travel as hashes too and are compared when the rows come back.
+    edges = pairs.join(_overlaps(pairs, placed), ["place", "stem", "alias"], "left").join(mine, ["place", "stem"]).join(other, ["place", "alias"]).filter("muni = __muni AND tail = __tail")
+    return edges.groupBy("entity", "road").agg(F.max("alike").alias("score"), F.max(F.coalesce("overlap", F.lit(1.0))).alias("overlap"))
+
+
+def _overlaps(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(place, stem, alias, overlap)`` of the names with several candidates: share of the rarity that they have in common."""
+    several = pairs.groupBy("place", "stem").agg(F.count("*").alias("n")).filter("n > 1").select("place", "stem")
+    total = placed.count() or 1
+    block = F.xxhash64("place", "attribute").alias("block")
+    rarity = placed.select("place", F.explode(_attributes(F.col("alias"))).alias("attribute")).groupBy(block).agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
+    keys = pairs.select("place", "stem", "alias").join(several, ["place", "stem"], "left_semi").select("place", "stem", "alias", F.explode(_attributes(F.col("stem"))).alias("attribute"), _attributes(F.col("alias")).alias("others"))
+    keys = keys.select("place", "stem", "alias", block, F.array_contains("others", F.col("attribute")).alias("shared"))
     # An attribute that no road has is as rare as can be.
     keys = keys.join(rarity, "block", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + total))))
-    weighed = keys.groupBy("muni", "tail", "stem", "alias").agg((F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("overlap"))
-    edges = weighed.join(looked, ["muni", "tail", "stem"]).join(placed, ["muni", "tail", "alias"])
-    return edges.groupBy("entity", "road", "stem", "alias").agg(F.max("overlap").alias("overlap")).withColumn("certainty", F.lit(1.0))
+    return keys.groupBy("place", "stem", "alias").agg((F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("overlap"))
 
 
 def _without_municipality(entities: DataFrame, spots: DataFrame) -> DataFrame:
     """Edges of entities or spots without a municipality: by whole name, where it belongs to one road."""
     roads = spots.groupBy("stem", "tail").agg(F.count_distinct("road").alias("n"), F.min("road").alias("road"), F.count("muni").alias("placed")).filter("n = 1")
     both = entities.join(roads, ["stem", "tail"]).filter("size(munis) = 0 OR placed = 0")
-    return both.select("entity", "road", "stem", F.col("stem").alias("alias"), F.lit(1.0).alias("overlap"), F.lit(0.8).alias("certainty"))
-
-
-def _refined(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(entity, road, score, overlap)`` after propagation."""
-    scores = edges.withColumn("score", likeness(F.col("stem"), F.col("alias")) * F.col("certainty")).groupBy("entity", "road").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
-    scores = cut_lineage(scores.join(entities.select("entity", "stem"), "entity"))
-    used = edges.select("road", F.col("alias").alias("stem")).distinct()
-    for _ in range(STEPS):
-        # Spellings that are linked for sure and new to their road.
-        sure = scores.filter(F.col("score") >= SURE).groupBy("road", "stem").agg(F.max("score").alias("trust"))
-        fresh = cut_lineage(sure.join(used, ["road", "stem"], "left_anti").withColumnRenamed("stem", "alias"))
-        if fresh.isEmpty():
-            break
-        raised = scores.filter(F.col("score") < SURE).join(fresh, "road").withColumn("via", DECAY * F.col("trust") * likeness(F.col("stem"), F.col("alias"))).groupBy("entity", "road").agg(F.max("via").alias("via"))
-        scores = cut_lineage(scores.join(raised, ["entity", "road"], "left").withColumn("score", F.greatest("score", F.coalesce("via", F.lit(0.0)))).drop("via"))
-        used = used.unionByName(fresh.select("road", F.col("alias").alias("stem")))
+    return both.select("entity", "road", F.lit(0.8).alias("score"), F.lit(1.0).alias("overlap"))
+
+
+def _refined(edges: DataFrame, looked: DataFrame) -> DataFrame:
+    """``(entity, road, score, overlap)`` after propagation between neighbours, with scores that don't rise any more."""
+    scores = cut_lineage(edges.groupBy("entity", "road").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap")))
+    # An exact name passes nothing on that the road's own spelling doesn't give, and a sure link needs no neighbours.
+    sure = F.col("top") >= SURE
+    tops = looked.select("entity", "place", "stem").join(scores.groupBy("entity").agg(F.max("score").alias("top")), "entity", "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+    tops = cut_lineage(tops.filter("top < 1"))
+    risen = scores.filter((F.col("score") >= SURE) & (F.col("score") < 1.0)).select("entity", "road")
+    near = _alike(tops.filter(~sure).select("place", "stem").distinct(), tops.select("place", F.col("stem").alias("alias")).distinct()).filter((F.col("alike") >= SURE) & (F.col("alike") < 1.0))
+    near = near.join(tops.filter(~sure).select("place", "stem", "entity"), ["place", "stem"]).join(tops.select("place", F.col("stem").alias("alias"), F.col("entity").alias("from")), ["place", "alias"])
+    near = cut_lineage(near.groupBy("entity", "from").agg(F.max("alike").alias("alike")).filter(F.col("entity") != F.col("from")))
+    rounds, order = 0, F.struct("score", "overlap", "road")
+    while not near.isEmpty() and not risen.isEmpty():
+        rounds += 1
+        best = scores.groupBy(F.col("entity").alias("from")).agg(F.max_by("road", order).alias("road"), F.max("score").alias("sent"), F.max_by("overlap", order).alias("overlap"))
+        sent = best.join(risen.withColumnRenamed("entity", "from"), ["from", "road"], "left_semi")
+        via = near.join(sent, "from").groupBy("entity", "road").agg(F.max(F.col("alike") * (1 + F.col("sent")) / 2).alias("via"), F.max("overlap").alias("via_overlap")).filter(F.col("via") >= LINK)
+        after = cut_lineage(scores.join(via, ["entity", "road"], "full"))
+        risen = after.filter(F.coalesce(F.col("via") >= F.coalesce("score", F.lit(0.0)) + STABLE, F.lit(False))).select("entity", "road")
+        scores = after.select("entity", "road", F.greatest("score", "via").alias("score"), F.coalesce("overlap", "via_overlap").alias("overlap"))
+    _log.info("scores are stable after %d rounds", rounds)
     return scores
 
 
