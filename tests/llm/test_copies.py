@@ -36,6 +36,11 @@ COPIES = [
     changed(行政出典="HTTPS://x.example/a.PDF / 県「計画」"),
     changed(ほか表記=" "),
 ]
+NESTED = "舗装(東、(西、南(い;ろ))北) | 点検"
+NESTED_COPIES = [NESTED, "点検、舗装（北（（ろ／い）南・西）、東）", "点検、舗装（北（西、（い、ろ）南）、東）", "舗装(東、((い;ろ)南、西)北) | 点検"]
+NESTED_OTHERS = ["舗装(東、(西、南)北(い;ろ)) | 点検", "舗装(東、西、南(い;ろ)北) | 点検", "舗装(東、(西、南(い)(は))北) | 点検", "舗装(東、(西、南(い;ろ))北 | 点検"]
+NUMBERS = ["1,234,567,890 | 5", "5、1234567890", "1234567890|5"]
+OTHER_NUMBERS = ["1,234,567,89 | 5", "1,234,567 | 890 | 5", "12345,678901 | 5", "1,234 | 567,890 | 5"]
 OTHERS = [
     changed(林道名="林道 川線"),
     changed(林道名="林道 山2線"),
@@ -57,6 +62,16 @@ def test_others(spark):
     assert found(spark, *OTHERS, *OTHERS) == [(k, k + len(OTHERS)) for k in range(1, len(OTHERS) + 1)]
 
 
+def test_parentheses_within_parentheses(spark):
+    cells = [changed(事業内容=x) for x in NESTED_COPIES + NESTED_OTHERS]
+    assert found(spark, *cells) == [(1, k) for k in range(2, len(NESTED_COPIES) + 1)]
+
+
+def test_long_numbers(spark):
+    cells = [changed(総事業費千円=x) for x in NUMBERS + OTHER_NUMBERS]
+    assert found(spark, *cells) == [(1, k) for k in range(2, len(NUMBERS) + 1)]
+
+
 def test_null_records(spark):
     nothing = (None,) * len(COLUMNS)
     blank = ("",) * len(COLUMNS)

@@ -1,7 +1,7 @@
 """Records that are copies of each other but for their formatting.
 
 Method: Merkle-style bottom-up hashing. Leaves are normalised, the digests of children are sorted at unordered
-nodes (the parts of a cell, the parts within its parentheses), columns are an ordered node, and records with the
+nodes (the parts of a cell, the parts within parentheses at any depth), columns are an ordered node, and records with the
 same root digest are confirmed by comparing their whole normalised structure.
 
 A leaf is its text without blanks, punctuation and letter case, in the skeleton of ``lookalikes``. A cell is
@@ -18,7 +18,12 @@ copies count; ``first`` is the smallest row key; an empty table has no copies.
 
 from __future__ import annotations
 
+import re
+import string
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +31,18 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..operators.skew import join_to_lookup
 from ..session import cut_lineage
-from .lookalikes import plain, skeleton
+from .lookalikes import TWIN_KANA, TWIN_KANJI, plain
 
 #: In the plain form; separators part a cell, but not within parentheses.
 SEPARATORS = r"[|/、,;\n\r\t・]"
-ADDRESS = r"https?://[^\s|、;「『]+"
-#: Everything that formatting adds.
-FORMATTING = r"(?U)[\s\p{P}\p{S}\p{Cc}]+"
-#: Signs between children, parts and columns of a written structure; no leaf holds them.
+ADDRESS = r"https?:[^\s|、;「『]+"
+#: Signs between children, parts and columns of a written structure, and around children within children; no leaf holds
+#: them, as control signs are formatting.
 CHILD, PART, COLUMN = "\x1f", "\x1e", "\x1d"
-THOUSANDS = r"(?<=(?<![0-9,])[0-9]{1,3}|(?<![0-9,])[0-9]{1,3},[0-9]{3}),(?=[0-9]{3}(?![0-9]))"
+OPEN, CLOSE, INNER_OPEN, INNER_CLOSE, INNER_CHILD = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Formatting that structure is read from; all other formatting is dropped before.
+STRUCTURE = " \n\r\t、・「」『』" + string.punctuation
+THOUSANDS, DIGITS = r"(?<![0-9,])[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])", r"[0-9]+|[^0-9]+"
 GENERIC = "林道"
 
 
@@ -56,63 +63,138 @@ CANDIDATES = Layout("cand_row", ("ID", "林道名", "取得元"), names=("林道
 PLAN = Layout("plan_row", ("林道名", "関係市町村", "事業型", "事業内容", "工期", "総事業費千円", "ほか表記", "資料ページ", "行政出典", "確認日"), names=("林道名",), numbers=("総事業費千円",), blank_lists=("関係市町村",), sources=("行政出典",))
 
 
+@cache
+def _dropped() -> str:
+    """Blanks, punctuation, symbols and control signs but those of ``STRUCTURE``."""
+    kinds = ("P", "S", "Z", "Cc")
+    return "".join(chr(c) for c in range(0x20000) if chr(c) not in STRUCTURE and unicodedata.category(chr(c)).startswith(kinds))
+
+
+def cell_text(cell: Column) -> Column:
+    """Cell in the form that leaves are read from: skeleton without letter case and without formatting that says nothing."""
+    return F.lower(F.translate(plain(F.coalesce(cell, F.lit(""))), TWIN_KANJI + _dropped(), TWIN_KANA))
+
+
 def leaf(text: Column) -> Column:
-    """``text`` without anything that formatting adds or takes."""
-    return F.regexp_replace(text, FORMATTING, "")
+    """A piece of ``cell_text`` without anything that formatting adds or takes."""
+    return F.regexp_replace(text, f"[{re.escape(STRUCTURE)}]+", "")
 
 
 def _parts(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, separators), lambda p: leaf(p) != "")
 
 
-def cell_tree(cell: Column, name: bool = False, number: bool = False, blank_list: bool = False, source: bool = False) -> Column:
-    """``array<struct<digest, form>>``: digest and written structure of each part, in the order of the digests."""
-    text = F.lower(skeleton(plain(F.coalesce(cell.cast("string"), F.lit("")))))
-    outside = (rf"(?:{SEPARATORS}| +)" if blank_list else SEPARATORS) + r"(?![^(]*\))"
-    if name:
-        parts = F.filter(F.array(F.regexp_replace(leaf(text), f"^{GENERIC}(.+)$", f"$1{GENERIC}")), lambda p: p != "")
-    elif source:
-        parts = let(text, lambda t: F.concat(_addresses(t), F.filter(F.array(leaf(F.regexp_replace(t, ADDRESS, ""))), lambda p: p != "")))
-    elif number:
-        parts = _parts(F.regexp_replace(text, THOUSANDS, ""), outside)
-    else:
-        parts = let(text, lambda t: F.concat(_addresses(t), _parts(F.regexp_replace(t, ADDRESS, "|"), outside)))
+def _node(part: Column) -> Column:
+    """``struct<digest, form>`` of a part: its own text, and the sorted children of its collapsed parentheses."""
+    marked = f"{OPEN}([^{OPEN}{CLOSE}]*){CLOSE}"
+    forms = F.filter(F.flatten(F.transform(F.regexp_extract_all(part, F.lit(marked), F.lit(1)), lambda g: F.split(g, CHILD))), lambda c: c != "")
+    ordered = F.sort_array(F.transform(forms, lambda c: F.struct(F.xxhash64(c).alias("digest"), c.alias("form"))))
+
+    def node(n: Column) -> Column:
+        inner = F.concat(F.lit(INNER_OPEN), F.array_join(F.transform(n["c"], lambda c: c["form"]), INNER_CHILD), F.lit(INNER_CLOSE))
+        return F.struct(F.xxhash64(n["h"], F.transform(n["c"], lambda c: c["digest"])).alias("digest"), F.concat(n["h"], inner).alias("form"))
+
+    alone = lambda h: F.struct(F.xxhash64(h).alias("digest"), h.alias("form"))
+    return F.when(F.contains(part, F.lit(OPEN)), let(F.struct(leaf(F.regexp_replace(part, marked, "")).alias("h"), ordered.alias("c")), node)).otherwise(let(leaf(part), alone))
+
+
+def _collapsed(text: Column) -> Column:
+    """``text`` with the parentheses that hold none replaced by the written structure of what they hold."""
+
+    def group(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        forms = F.filter(F.transform(_parts(inner, SEPARATORS), lambda p: _node(p)["form"]), lambda f: f != "")
+        return F.concat(F.lit(OPEN), F.array_join(forms, CHILD), F.lit(CLOSE))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(\([^()]*\)|[^()]+|[()])"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\(.*\)$"), group(p)).otherwise(p)), "")
+
+
+def _without_parentheses(text: Column) -> Column:
+    """``text`` with all closed parentheses collapsed, from the innermost outwards; open ones are ordinary signs."""
+    closed = r"\([^()]*\)"
 
-    def children(part: Column) -> Column:
-        groups = F.regexp_extract_all(part, F.lit(r"\(([^()]*)\)"), F.lit(1))
-        leaves = F.flatten(F.transform(groups, lambda g: F.transform(_parts(g, SEPARATORS), leaf)))
-        return F.sort_array(F.transform(leaves, lambda x: F.struct(F.xxhash64(x).alias("digest"), x.alias("form"))))
+    def collapse(t: Column) -> Column:
+        levels = F.sequence(F.lit(1), F.length(t) - F.length(F.replace(t, F.lit("("), F.lit(""))))
+        return F.aggregate(levels, t, lambda now, _: F.when(now.rlike(closed), _collapsed(now)).otherwise(now))
 
-    def node(head: Column, inner: Column) -> Column:
-        digest = F.xxhash64(head, F.transform(inner, lambda c: c["digest"]))
-        return F.struct(digest.alias("digest"), F.concat_ws(CHILD, head, F.array_join(F.transform(inner, lambda c: c["form"]), CHILD)).alias("form"))
+    return let(text, lambda t: F.when(t.rlike(closed), collapse(t)).otherwise(t))
 
-    def part_node(part: Column) -> Column:
-        return let(F.struct(leaf(F.regexp_replace(part, r"\([^()]*\)", "")).alias("h"), children(part).alias("c")), lambda n: node(n["h"], n["c"]))
 
-    return F.sort_array(F.transform(parts, part_node))
+def _plain_numbers(text: Column) -> Column:
+    """``text`` without the commas within numbers."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({THOUSANDS}|{DIGITS})"), F.lit(1))
+    joined = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{THOUSANDS}$"), F.replace(p, F.lit(","), F.lit(""))).otherwise(p)), "")
+    return F.when(F.contains(text, F.lit(",")), joined).otherwise(text)
+
+
+def cell_tree(text: Column, name: bool = False, number: bool = False, blank_list: bool = False, source: bool = False) -> Column:
+    """``array<struct<digest, form>>`` of a ``cell_text``: digest and written structure of each part, ordered by digest."""
+    outside = rf"(?:{SEPARATORS}| +)" if blank_list else SEPARATORS
+
+    def parts(text: Column) -> Column:
+        present = lambda p: F.filter(F.array(p), lambda x: x != "")
+        if name:
+            return present(F.regexp_replace(leaf(text), f"^{GENERIC}(.+)$", f"$1{GENERIC}"))
+        if source:
+            return F.concat(_addresses(text), present(leaf(F.regexp_replace(text, ADDRESS, ""))))
+        if number:
+            return _parts(_without_parentheses(_plain_numbers(text)), outside)
+        apart = F.when(F.contains(text, F.lit("http")), F.regexp_replace(text, ADDRESS, "|")).otherwise(text)
+        return F.concat(_addresses(text), _parts(_without_parentheses(apart), outside))
+
+    return F.sort_array(F.transform(parts(text), _node))
 
 
 def _addresses(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1))
+    return F.when(F.contains(text, F.lit("http")), found).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
+
+
+def _kind(layout: Layout, column: str) -> tuple[bool, bool, bool, bool]:
+    return column in layout.names, column in layout.numbers, column in layout.blank_lists, column in layout.sources
+
+
+def _tree_of(kind: tuple[bool, bool, bool, bool]) -> Callable[[Column], Column]:
+    return lambda text: cell_tree(text, *kind)
+
+
+def record_columns(layout: Layout) -> tuple[Column, Column, Column]:
+    """``texts`` of a record's cells, and from them its ``root`` and its written structure ``tree``.
+
+    One expression for the signs of all cells and one for the trees of all columns of a kind, so that neither stands in the
+    plan, nor is built, once per column.
+    """
+    kinds: dict[tuple, list[str]] = {}
+    for c in layout.columns:
+        kinds.setdefault(_kind(layout, c), []).append(c)
+    ordered = [c for columns in kinds.values() for c in columns]
+    texts = F.transform(F.array(*[F.col(f"`{c}`").cast("string") for c in ordered]), cell_text)
+    cells, at = [], 1
+    for kind, columns in kinds.items():
+        cells.append(F.transform(F.slice("texts", at, len(columns)), _tree_of(kind)))
+        at += len(columns)
+    trees = F.concat(*cells)
+    root = F.xxhash64(F.transform(F.col("trees"), lambda cell: F.xxhash64(F.transform(cell, lambda n: n["digest"]))))
+    tree = F.array_join(F.transform(F.col("trees"), lambda cell: F.array_join(F.transform(cell, lambda n: n["form"]), PART)), COLUMN)
+    return texts, trees, F.struct(root.alias("root"), tree.alias("tree"))
 
 
-def record_trees(df: DataFrame, layout: Layout) -> DataFrame:
+def record_trees(df: DataFrame, layout: Layout, columns: tuple[Column, Column, Column] | None = None) -> DataFrame:
     """``(row, root, tree)`` of each record: the digest of its columns' digests, and its written structure."""
-    trees = [cell_tree(F.col(f"`{c}`"), c in layout.names, c in layout.numbers, c in layout.blank_lists, c in layout.sources).alias(f"c{k}") for k, c in enumerate(layout.columns)]
-    wide = df.select(F.col(layout.row).alias("row"), F.struct(*trees).alias("tree"))
-    cells = [F.col(f"tree.c{k}") for k in range(len(trees))]
-    root = F.xxhash64(*[F.xxhash64(F.transform(c, lambda n: n["digest"])) for c in cells])
-    return wide.select("row", root.alias("root"), F.concat_ws(COLUMN, *[F.array_join(F.transform(c, lambda n: n["form"]), PART) for c in cells]).alias("tree"))
+    texts, trees, record = columns or record_columns(layout)
+    wide = df.select(F.col(layout.row).alias("row"), texts.alias("texts")).select("row", trees.alias("trees"))
+    return wide.select("row", record.alias("r")).select("row", "r.root", "r.tree")
 
 
 def repeated_groups(df: DataFrame, layout: Layout) -> DataFrame:
     """``(row, first)`` of the records that have copies."""
-    roots = cut_lineage(record_trees(df, layout).select("row", "root"))
+    columns = record_columns(layout)
+    roots = cut_lineage(record_trees(df, layout, columns).select("row", "root"))
     shared = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     # Only the records whose root occurs again are written out and compared.
     rows = join_to_lookup(roots, shared, "root").select(F.col("row").alias(layout.row)).distinct()
-    again = cut_lineage(record_trees(df.join(rows, layout.row, "left_semi"), layout))
+    again = cut_lineage(record_trees(df.join(rows, layout.row, "left_semi"), layout, columns))
     groups = again.groupBy("root", "tree").agg(F.min("row").alias("first"))
     per_root = groups.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("kinds"))
     marked = join_to_lookup(again.select("row", "root"), per_root.filter("kinds = 1").select("root", "first"), "root").select("row", "first")

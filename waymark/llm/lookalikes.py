@@ -48,6 +48,9 @@ LONGEST_WORD = 32
 #: and if no word with a twin beside it explains it, that is, none that is so many times as common.
 WORD_RATIO = 10
 
+#: Signs that ``plain`` leaves as they are: ASCII, kana without marks of their own, kanji and Japanese stops.
+ORDINARY = r"\x00-\x7fぁ-ゖァ-ヺー一-鿿、。・「」『』"
+
 COMPOSED_SOUND, COMPOSED_HALF = "゙", "゚"
 
 
@@ -83,12 +86,19 @@ def voiced() -> dict[str, tuple[str, str]]:
 
 
 def plain(text: Column) -> Column:
-    """``text`` with the usual sign for each sign, whatever stands beside it, and without invisible ones."""
+    """``text`` with the usual sign for each sign, whatever stands beside it, and without invisible ones.
+
+    Texts of ordinary signs alone, which are most, are only searched.
+    """
     off, on = sign_map()
-    text = F.translate(text, off, on)
-    for mark, (base, whole) in voiced().items():
-        text = _composed(text, mark, base, whole)
-    return text
+
+    def mapped(text: Column) -> Column:
+        text = F.translate(text, off, on)
+        for mark, (base, whole) in voiced().items():
+            text = _composed(text, mark, base, whole)
+        return text
+
+    return let(text, lambda t: F.when(t.rlike(f"[^{ORDINARY}]"), mapped(t)).otherwise(t))
 
 
 def _composed(text: Column, mark: str, base: str, whole: str) -> Column:
