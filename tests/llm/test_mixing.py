@@ -32,6 +32,24 @@ def test_poisson_steps():
     assert m.poisson_steps(0.0, 2) == [1.0, 1.0]
 
 
+def test_poisson_steps_of_large_means():
+    for mean, most in ((900.0, 2000), (5000.0, 6000), (1e-9, 5)):
+        steps = m.poisson_steps(mean, most)
+        assert steps == sorted(steps)
+        assert steps[-1] == pytest.approx(1.0)
+        middle = sum(u <= 0.5 for u in steps)
+        assert abs(middle - mean) < 2
+
+
+def test_shares_of_many_repeats(spark):
+    docs = documents(spark, a=400, b=400)
+    targets = spark.createDataFrame([("a", 0.5, 1000), ("b", 0.5, 2000)], TARGETS)
+    reached = {r.source: r.actual_share for r in m.shares(m.uses(docs, targets), targets).collect()}
+    assert reached["a"] == pytest.approx(0.5, abs=0.005)
+    with pytest.raises(ValueError, match="repeats"):
+        m.uses(docs, spark.createDataFrame([("a", 0.5, 2_000_000_000)], TARGETS))
+
+
 def test_uniform(spark):
     u = [r.u for r in spark.range(20_000).select(m.uniform(F.col("id"), 1).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1

@@ -29,8 +29,9 @@ from .tokens import VOCABULARY, with_tokens
 
 SEED = 20_25
 GRID, PASSES = 32, 4
-#: ``mix_targets`` may have so many rows; it is a table of settings, not of data.
-MOST_SOURCES = 10_000
+#: ``mix_targets`` may have so many rows, and so many steps of repeats over all rows and grid points may be broadcast; it is a
+#: table of settings, not of data. More is an error, nothing is left out.
+MOST_SOURCES, MOST_STEPS = 10_000, 20_000_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -42,11 +43,13 @@ def poisson_steps(mean: float, most: int) -> list[float]:
     """Chances of fewer than 1, 2, ... ``most`` events: a uniform number gives as many as it isn't below."""
     if math.isinf(mean):
         return [0.0] * most
-    term, total, out = math.exp(-mean), 0.0, []
+    if mean <= 0:
+        return [1.0] * most
+    # Chances in logarithms, as the first ones are below what a number can hold from a mean of 745 on.
+    total, out = 0.0, []
     for k in range(most):
-        total += term
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
         out.append(min(1.0, total))
-        term *= mean / (k + 1)
     return out
 
 
@@ -64,6 +67,8 @@ def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     rows = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} targets")
+    if sum(r.t.max_repeats for r in rows) * GRID > MOST_STEPS:
+        raise ValueError(f"more than {MOST_STEPS // GRID} repeats over all targets")
     return {r.source: (float(r.t.target_share), int(r.t.max_repeats)) for r in rows}
 
 
