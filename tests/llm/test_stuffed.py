@@ -119,6 +119,15 @@ def test_perplexity_prefers_what_was_counted():
     assert usual < 0.5 < 2 < odd
 
 
+def test_long_tags_and_equal_segments():
+    tag = '<div class="' + "a b " * 200 + '">'
+    assert s.sequence(tag) == s.sequence("<b>")
+    assert len(s.sequence(tag)) == 1
+    # Equal segments, one within the prose and one after it, are not one.
+    parts = ["この道は車で通れる。", "\t", "この道は広くて良い。", "\t"]
+    assert s.prose_places(parts) == [0, 1, 2]
+
+
 def test_prose_part():
     parts = s.segments("これは道の話である。\n12:30 36.1,138.2 900m\n関連: 温泉\nここで道は終わりである。\n温泉 | 駐車場\n")
     assert s.prose_part(parts) == [parts[0], parts[1], parts[3]]

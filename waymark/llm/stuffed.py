@@ -17,6 +17,7 @@ a repost is flagged as its original; with no prose at all nothing is flagged.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+_log = logging.getLogger(__name__)
+
 #: Function words, the longest first where one begins with another.
 JA_WORDS = "ところ および または ながら について によると によって において として という ている てから だけ ほど まで から より ため こと もの とき ので のに では には とは へは にも でも なら など かも しか さえ ばかり および られ され せる れる れた した する して しない ない なく なかった いる いた ある あった です ます でした ました だった である だ た て は が を に で と も の や か へ ば し な り る れ"
 EN_WORDS = "a an the this that these those it its he she they we you i his her their our your who which what where when while if unless because although and or but so nor not no of to in on at by for from with without into onto over under near after before since until about above below between along across up down out off as than then there here is are was were be been being has have had do does did will would can could may might must should shall only also still just more most some any each all one two"
@@ -39,7 +42,7 @@ LONG_RUN = 12
 _JA = sorted(set(JA_WORDS.split()), key=lambda w: (-len(w), w))
 _EN = sorted(set(EN_WORDS.split()))
 _JA_PATTERN = re.compile("|".join(_JA) + "|.", re.S)
-_ADDRESS, _TAG, _NUMBER = re.compile(r"https?://[!-~]+"), re.compile(r"<[^<>\n]{1,200}>"), re.compile(r"[0-9０-９]+(?:[.,:][0-9]+)*")
+_ADDRESS, _TAG, _NUMBER = re.compile(r"https?://[!-~]+"), re.compile(r"<[^<>\n]+>"), re.compile(r"[0-9０-９]+(?:[.,:][0-9]+)*")
 #: Signs that stand for an address, a tag and the end of a segment while a text is cut up.
 _ADDRESS_SIGN, _TAG_SIGN, _END = "\ue000", "\ue001", "\ue002"
 _SIGNS = "。、.,!?！？:：;；()（）「」『』[]【】|/・★-—–~〜>＞<＜≪≫▶→#*+=%&\"'_^●◆■…○"
@@ -174,14 +177,19 @@ def is_sentence(segment: str) -> bool:
     return bool(_EN_END.search(segment)) and len(_EN_WORD.findall(segment)) > 1
 
 
-def prose_part(parts: list[str]) -> list[str]:
-    """Segments to train on: sentences, and rows of data among them, of a text that largely consists of sentences."""
+def prose_places(parts: list[str]) -> list[int]:
+    """Places of the segments to train on: sentences, and rows of data among them, of a text that largely consists of sentences."""
     whole, data = [is_sentence(p) for p in parts], [is_data(p) for p in parts]
     size = lambda chosen: sum(len(p) for p, c in zip(parts, chosen, strict=True) if c)
     if not any(whole) or size(whole) < PROSE_SHARE * (size([True] * len(parts)) - size(data)):
         return []
     first, last = whole.index(True), len(whole) - whole[::-1].index(True)
-    return [p for p, w, d in zip(parts[first:last], whole[first:last], data[first:last], strict=True) if w or d]
+    return [k for k in range(first, last) if whole[k] or data[k]]
+
+
+def prose_part(parts: list[str]) -> list[str]:
+    """The segments at ``prose_places``."""
+    return [parts[k] for k in prose_places(parts)]
 
 
 def is_data(segment: str) -> bool:
@@ -297,14 +305,14 @@ def _all_shapes(texts: Iterable[str | None]) -> list[tuple[bytes, bytes, bytes,
         a += len(parts)
         tokens = flat[b : b + int(mine.sum())]
         b += len(tokens)
-        prose = set(map(id, prose_part(parts)))
+        prose = set(prose_places(parts))
         seen: set[bytes] = set()
         train, at = [], 0
-        for p, n in zip(parts, mine.tolist(), strict=True):
+        for k, n in enumerate(mine.tolist()):
             shape = tokens[at : at + n].tobytes()
             at += n
             # One sequence counts once in a text, so a text can't teach the model what it repeats.
-            train.append(id(p) in prose and shape not in seen)
+            train.append(k in prose and shape not in seen)
             seen.add(shape)
         out.append((tokens.tobytes(), mine.astype(np.int32).tobytes(), np.asarray([len(p.strip()) for p in parts], dtype=np.int32).tobytes(), np.asarray(train, dtype=np.uint8).tobytes(), np.asarray([own_variety(p) for p in parts], dtype=np.float32).tobytes()))
     return out
@@ -412,6 +420,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
         found = texts.mapInPandas(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         if found.empty:
             return None
+        _log.info("n-grams and contexts fill %.3f of the slots", len(found) / (1 << SLOT_BITS))
         counts = Model(found["slot"].to_numpy(np.int64), found["n"].to_numpy(float))
         shared = spark.sparkContext.broadcast(counts)
 
