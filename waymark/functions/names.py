@@ -74,3 +74,18 @@ def stem_and_flag(name: Column, prefix: str = "林道", suffix: str = "ほか")
 def name_likeness(a: Column, b: Column) -> Column:
     """100 for equal names, 80 where the first holds the second, 60 the other way, else -1."""
     return F.when(a == b, 100).when(F.contains(a, b), 80).when(F.contains(b, a), 60).otherwise(-1)
+
+
+def bracketed_name(text: Column, prefix: str = "林道", suffix: str = "ほか", reject: str | None = None) -> Column:
+    """``struct<stem, others>``: the name in parentheses that begins with ``prefix``, else the text as such a name.
+
+    Null where neither is one, or where ``reject`` matches the text.
+    """
+    inside = F.regexp_extract(text, f"[（(]({prefix}[^（）()]*)[）)]", 1)
+    found = F.coalesce(stem_and_flag(F.when(inside != "", inside), prefix, suffix), stem_and_flag(text, prefix, suffix))
+    return F.when(~F.coalesce(text.rlike(reject), F.lit(False)), found) if reject else found
+
+
+def first_contained(text: Column, literals: list[str], default: str | None = None) -> Column:
+    """The first of ``literals`` that stands in ``text``, else ``default``."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(x)), F.lit(x)) for x in literals], F.lit(default))

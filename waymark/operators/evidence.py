@@ -69,3 +69,10 @@ def sentences(*parts: Column, end: str = "。") -> Column:
     """The sentences that aren't null, each ended."""
     present = F.filter(F.array(*parts), lambda p: p.isNotNull())
     return F.when(F.size(present) > 0, F.concat(F.array_join(present, end), F.lit(end))).otherwise("")
+
+
+def evidence_row(text: Column, attributes: Column, most: int = 500) -> Column:
+    """``struct<excerpt, attributes>``: blanks collapsed and cut to ``most`` signs; distinct attributes in order, no empty ones."""
+    excerpt = F.left(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(most))
+    kept = F.array_distinct(F.filter(attributes, lambda a: a.isNotNull() & (a != "")))
+    return F.struct(excerpt.alias("excerpt"), kept.alias("attributes"))

@@ -43,3 +43,26 @@ def bad_coordinates(lat: Column, lon: Column) -> dict[str, Column]:
 
 def all_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(rule, key)``: columns that ``df`` lacks."""
+    lacking = [(f"column {c} is missing", c) for c in columns if c not in df.columns]
+    return df.sparkSession.createDataFrame(lacking, "rule string, key string")
+
+
+def not_among(column: str, allowed: list[str]) -> Column:
+    """Whether a value isn't one of ``allowed``; null isn't."""
+    return ~F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+
+
+def too_few(df: DataFrame, condition: Column, least: int, rule: str) -> DataFrame:
+    """One violation, with the number found as its key, if fewer than ``least`` rows meet ``condition``."""
+    return df.agg(F.count_if(condition).alias("n")).filter(F.col("n") < least).select(F.lit(rule).alias("rule"), F.col("n").cast("string").alias("key"))
+
+
+def capped(violations: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most`` violations by rule and key, and a row that tells how many more there are; the cap is the report's."""
+    shown = violations.orderBy("rule", "key").limit(most)
+    more = violations.agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit("more").alias("rule"), (F.col("n") - most).cast("string").alias("key"))
+    return shown.unionByName(more)

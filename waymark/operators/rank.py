@@ -107,3 +107,14 @@ def only_match(pairs: DataFrame, probe: list[str]) -> DataFrame:
     """Pairs whose probe side has exactly one partner."""
     single = pairs.groupBy(*probe).agg(F.count("*").alias("__n")).filter("__n = 1").drop("__n")
     return pairs.join(single, probe, "left_semi")
+
+
+def first_preferred(df: DataFrame, keys: list[str], preferred: Column, *order: Column) -> DataFrame:
+    """Of each group the first row in ``order`` that is ``preferred``, else the first row."""
+    return first_by(df, keys, (~F.coalesce(preferred, F.lit(False))).cast("int"), *order)
+
+
+def first_reaching(df: DataFrame, keys: list[str], score: Column, least: float, *order: Column) -> DataFrame:
+    """Of each group the first row in ``order`` whose score reaches ``least``, else the one of the highest score."""
+    reached = F.coalesce(score >= least, F.lit(False))
+    return first_by(df, keys, (~reached).cast("int"), F.when(~reached, -score), *order)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import trim_blanks
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All-text CSV with a header; a byte order mark, quoted line breaks and doubled quotes are fine.
@@ -82,3 +84,35 @@ def anchored(rows: DataFrame, pattern: str, offsets: dict[str, int]) -> DataFram
 def new_only(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """Keys still to be fetched: those wanted that the cache lacks, so an interrupted fetch goes on where it was."""
     return wanted.join(cached.select(key), key, "left_anti")
+
+
+def first_rows(df: DataFrame, position: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of a file, given by its column ``position``; the limit is the feature."""
+    return df.orderBy(position).limit(n)
+
+
+def exactly_one(df: DataFrame, what: str = "row") -> DataFrame:
+    """``df`` if it has exactly one row, else an error; at most two rows are looked at."""
+    n = len(df.limit(2).take(2))
+    if n != 1:
+        raise ValueError(f"exactly one {what} expected, found {'none' if not n else 'more'}")
+    return df
+
+
+def tiles_union(parts: list[DataFrame], key: str) -> DataFrame:
+    """Rows of tiles that may overlap, of each key the one of the last tile that has it."""
+    from ..operators.rank import last_by
+
+    numbered = [p.withColumn("__tile", F.lit(k)) for k, p in enumerate(parts)]
+    both = numbered[0]
+    for part in numbered[1:]:
+        both = both.unionByName(part)
+    rest = [F.col(c) for c in parts[0].columns if c != key]
+    return last_by(both, [key], F.col("__tile"), *rest).drop("__tile")
+
+
+def split_compound(cell: Column, ending: str, sign: str = "・") -> Column:
+    """Values of a cell of several lines; a line is split at ``sign`` only if each of its parts ends in ``ending``."""
+    lines = F.filter(F.transform(F.split(cell, r"\r?\n"), trim_blanks), lambda x: x != "")
+    parts = lambda line: F.transform(F.split(line, sign), trim_blanks)
+    return F.flatten(F.transform(lines, lambda line: F.when(F.forall(parts(line), lambda p: F.endswith(p, F.lit(ending)) & (p != ending)), parts(line)).otherwise(F.array(line))))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.rank import last_by
+from ..operators.rank import last_by, numbered
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mark: bool = True) -> None:
@@ -49,3 +49,22 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``old`` and ``new``, of each key those of ``new`` if it has any; within one side the last by ``seq``."""
     both = old.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)))
     return last_by(both, keys, F.col("__side"), F.col("seq")).drop("__side")
+
+
+def objects(df: DataFrame, *order: Column) -> DataFrame:
+    """``(position, object)``: each row as a JSON object, numbered in ``order`` over all partitions; nulls are written."""
+    rows = numbered(df, *order, name="position")
+    return rows.select("position", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("object"))
+
+
+def write_document(df: DataFrame, path: str, *order: Column) -> None:
+    """One JSON array in ``path``, for small exports: its rows in ``order``, an object a line."""
+    lines = objects(df, *order).withColumn("n", F.max("position").over(Window.partitionBy()))
+    sign = lambda at, text: F.when(at, F.lit(text)).otherwise(F.lit(""))
+    text = F.concat(sign(F.col("position") == 1, "[\n"), F.col("object"), sign(F.col("position") < F.col("n"), ","), sign(F.col("position") == F.col("n"), "\n]"))
+    lines.coalesce(1).sortWithinPartitions("position").select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def with_errors_kept(cache: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """The cache with fresh answers, errors among them, so a key is asked for once; fresh answers win."""
+    return fresh.unionByName(cache.join(fresh.select(key), key, "left_anti"))
