@@ -216,12 +216,17 @@ def link(plan: DataFrame, mapped: DataFrame) -> DataFrame:
 def _candidates(looked: DataFrame, spots: DataFrame) -> DataFrame:
     """``(entity, road, score, overlap)``: edges of likeness ``LINK`` between plan entities and roads."""
     placed = cut_lineage(spots.filter("muni IS NOT NULL").select("road", F.col("stem").alias("alias"), "muni", "tail", _place()).distinct())
-    pairs = cut_lineage(_alike(looked.select("place", "stem").distinct(), placed.select("place", "alias").distinct()))
     mine = looked.select("place", "stem", "entity", "muni", "tail")
     other = placed.select("place", "alias", "road", F.col("muni").alias("__muni"), F.col("tail").alias("__tail"))
-    # Places travel as hashes too and are compared when the rows come back.
-    edges = pairs.join(_overlaps(pairs, placed), ["place", "stem", "alias"], "left").join(mine, ["place", "stem"]).join(other, ["place", "alias"]).filter("muni = __muni AND tail = __tail")
-    return edges.groupBy("entity", "road").agg(F.max("alike").alias("score"), F.max(F.coalesce("overlap", F.lit(1.0))).alias("overlap"))
+    # Places travel as hashes and are compared when the rows come back.
+    same = F.expr("muni = __muni AND tail = __tail")
+    exact = cut_lineage(mine.join(other.withColumnRenamed("alias", "stem"), ["place", "stem"]).filter(same).select("entity", "road").distinct())
+    # An entity with a road of just its name is linked to no other road, so only the others look for likeness.
+    rest = cut_lineage(mine.join(exact.select("entity"), "entity", "left_anti"))
+    pairs = cut_lineage(_alike(rest.select("place", "stem").distinct(), placed.select("place", "alias").distinct()))
+    edges = pairs.join(_overlaps(pairs, placed), ["place", "stem", "alias"], "left").join(rest, ["place", "stem"]).join(other, ["place", "alias"]).filter(same)
+    edges = edges.groupBy("entity", "road").agg(F.max("alike").alias("score"), F.max(F.coalesce("overlap", F.lit(1.0))).alias("overlap"))
+    return edges.unionByName(exact.select("entity", "road", F.lit(1.0).alias("score"), F.lit(1.0).alias("overlap")))
 
 
 def _overlaps(pairs: DataFrame, placed: DataFrame) -> DataFrame:
