@@ -9,7 +9,8 @@ are odd, and a page is flagged if more than half of its characters lie in odd se
 A sequence counts once per distinct text, and a text is scored without what it and its copies were counted for. All
 counts cover all documents. The vocabulary is fixed, and counts are kept in ``2 ** SLOT_BITS`` slots, so the
 model's size has a bound that doesn't depend on the corpus; it is summed per partition first and then per slot.
-Beside that only the sequences to train on are shuffled, one of each text and its reposts, combined before.
+Beside that only the sequences are shuffled, one of each text and its reposts, combined before; each distinct text is
+scored once, and its reposts take its share by their digest.
 
 Defined results: null, empty and blank texts are never flagged; a text of one segment counts as its segment;
 a repost is flagged as its original; with no prose at all nothing is flagged.
@@ -29,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_to_lookup
 from ..session import cut_lineage
 
 _log = logging.getLogger(__name__)
@@ -362,7 +364,7 @@ def odd_shares(batch: pd.DataFrame, model: Model) -> np.ndarray:
     """Share of each text's characters, blanks around segments not counted, in odd segments."""
     flat, sizes, chars, _, owner = _batch(batch)
     variety = np.frombuffer(b"".join(batch["variety"]), dtype=np.float32)
-    cost = perplexities(flat, sizes, model.table(), owner, _learned(batch, model.earlier))
+    cost = perplexities(flat, sizes, model.table(), owner, _learned(batch))
     odd = (cost > model.high) | (variety < LEAST_VARIETY)
     of = lambda weight: np.bincount(owner, weights=weight, minlength=len(batch))
     return of(chars * odd) / np.maximum(1.0, of(chars.astype(float)))
@@ -370,12 +372,11 @@ def odd_shares(batch: pd.DataFrame, model: Model) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Counts by slot, the bound above which perplexity is abnormal, and the model before."""
+    """Counts by slot and the bound above which perplexity is abnormal."""
 
     slots: np.ndarray
     counts: np.ndarray
     high: float = math.inf
-    earlier: Model | None = None
 
     def table(self) -> np.ndarray:
         table = np.zeros(1 << SLOT_BITS)
@@ -383,89 +384,87 @@ class Model:
         return table
 
 
-def _learned(batch: pd.DataFrame, earlier: Model | None) -> np.ndarray:
-    """Which sequences are trained on, not those of texts that the earlier model flags."""
+def _learned(batch: pd.DataFrame) -> np.ndarray:
+    """Which sequences are trained on, none of those of texts that the model before flagged."""
     _, _, chars, train, owner = _batch(batch)
     keep = train & (chars > 0)
-    if earlier is not None and len(owner):
-        keep &= (odd_shares(batch, earlier) <= ODD_SHARE)[owner]
-    return keep
+    return keep & (batch["odd_share"].to_numpy(float) <= ODD_SHARE)[owner] if len(owner) else keep
 
 
-def _training(batch: pd.DataFrame, earlier: Model | None) -> tuple[np.ndarray, np.ndarray]:
+def _training(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sequences to train on."""
     flat, sizes, _, _, _ = _batch(batch)
-    keep = _learned(batch, earlier)
+    keep = _learned(batch)
     return flat[np.repeat(keep, sizes)], sizes[keep]
 
 
-def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Train on all distinct ``shapes``; later rounds leave out what the round before flags. None if there is no prose."""
-    spark = documents.sparkSession
-    # Copies of a text have its digest and so its shapes: which of them stays makes no difference.
-    texts = cut_lineage(documents.drop("key").dropDuplicates(["digest"]))
-    model: Model | None = None
-    for _ in range(rounds):
-        if model is not None:
-            texts = _unflagged(texts, model)
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = np.zeros(1 << SLOT_BITS)
-            for batch in batches:
-                for piece in _pieces(batch):
-                    count_grams(*_training(piece, None), table)
-            used = np.flatnonzero(table)
-            yield pd.DataFrame({"slot": used, "n": table[used]})
-
-        found = texts.mapInPandas(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        if found.empty:
-            return None
-        _log.info("n-grams and contexts fill %.3f of the slots", len(found) / (1 << SLOT_BITS))
-        counts = Model(found["slot"].to_numpy(np.int64), found["n"].to_numpy(float))
-        shared = spark.sparkContext.broadcast(counts)
-
-        def spread(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            bins, table = np.zeros(BINS, dtype=np.int64), shared.value.table()
-            for batch in batches:
-                for piece in _pieces(batch):
-                    keep, owner = _learned(piece, None), _batch(piece)[4]
-                    cost = perplexities(*_training(piece, None), table, owner[keep], np.ones(int(keep.sum()), dtype=bool))
-                    bins += np.bincount(np.minimum(BINS - 1, (cost * BINS_PER_UNIT).astype(int)), minlength=BINS)
-            used = np.flatnonzero(bins)
-            yield pd.DataFrame({"bin": used, "n": bins[used]})
-
-        histogram = texts.mapInPandas(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
-        at = lambda q: float(histogram["bin"].iloc[int(np.searchsorted(histogram["n"].cumsum(), q * histogram["n"].sum()))] + 0.5) / BINS_PER_UNIT  # noqa: B023, E731
-        reach = max(LEAST_REACH, SPREADS * (at(0.75) - at(0.05)))
-        model = replace(counts, high=at(0.5) + reach, earlier=model)
-    return model
-
-
-def _unflagged(texts: DataFrame, model: Model) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """One of each text of ``shapes``, with ``odd_share`` 0. Copies have its digest and so its shapes: any of them will do."""
+    return cut_lineage(documents.drop("key").dropDuplicates(["digest"]).withColumn("odd_share", F.lit(0.0)))
+
+
+def fit(texts: DataFrame) -> Model | None:
+    """Train on ``distinct_texts`` but those flagged before. None if there is no prose."""
+    spark = texts.sparkSession
+    prose = texts.filter(F.col("odd_share") <= ODD_SHARE)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(1 << SLOT_BITS)
+        for batch in batches:
+            for piece in _pieces(batch):
+                count_grams(*_training(piece), table)
+        used = np.flatnonzero(table)
+        yield pd.DataFrame({"slot": used, "n": table[used]})
+
+    found = prose.mapInPandas(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    if found.empty:
+        return None
+    _log.info("n-grams and contexts fill %.3f of the slots", len(found) / (1 << SLOT_BITS))
+    model = Model(found["slot"].to_numpy(np.int64), found["n"].to_numpy(float))
+    shared = spark.sparkContext.broadcast(model)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins, table = np.zeros(BINS, dtype=np.int64), shared.value.table()
         for batch in batches:
             for piece in _pieces(batch):
-                yield piece[odd_shares(piece, shared.value) <= ODD_SHARE]
+                keep, owner = _learned(piece), _batch(piece)[4]
+                cost = perplexities(*_training(piece), table, owner[keep], np.ones(int(keep.sum()), dtype=bool))
+                bins += np.bincount(np.minimum(BINS - 1, (cost * BINS_PER_UNIT).astype(int)), minlength=BINS)
+        used = np.flatnonzero(bins)
+        yield pd.DataFrame({"bin": used, "n": bins[used]})
 
-    return cut_lineage(texts.mapInPandas(keep, texts.schema))
+    histogram = prose.mapInPandas(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+    at = lambda q: float(histogram["bin"].iloc[int(np.searchsorted(histogram["n"].cumsum(), q * histogram["n"].sum()))] + 0.5) / BINS_PER_UNIT
+    reach = max(LEAST_REACH, SPREADS * (at(0.75) - at(0.05)))
+    return replace(model, high=at(0.5) + reach)
 
 
-def odd_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, odd_share)`` of each document."""
-    cut, kind = shapes(documents, key, text), documents.schema[key].dataType
-    model = fit(cut)
-    if model is None:
-        return cut.select(F.col("key").cast(kind).alias(key), F.lit(0.0).alias("odd_share"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """``texts`` with ``odd_share`` under ``model``, in place of that under the model before."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for piece in _pieces(batch):
-                yield pd.DataFrame({"key": piece["key"].astype(object), "odd_share": odd_shares(piece, shared.value)})
+                yield piece.assign(odd_share=odd_shares(piece, shared.value))
+
+    return texts.mapInPandas(score, texts.schema)
 
-    return cut.mapInPandas(score, "key string, odd_share double").select(F.col("key").cast(kind).alias(key), "odd_share")
+
+def odd_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``(key, odd_share)`` of each document; each round trains without what the one before flags."""
+    cut, kind = shapes(documents, key, text), documents.schema[key].dataType
+    texts = distinct_texts(cut)
+    for k in range(rounds):
+        model = fit(texts)
+        if model is None:
+            return cut.select(F.col("key").cast(kind).alias(key), F.lit(0.0).alias("odd_share"))
+        texts = scored(texts, model)
+        if k + 1 < rounds:
+            texts = cut_lineage(texts)
+    # A null text has no digest and is odd in nothing.
+    shares = cut_lineage(texts.filter("digest IS NOT NULL").select("digest", "odd_share"))
+    return join_to_lookup(cut.select("key", "digest"), shares, "digest", "left").select(F.col("key").cast(kind).alias(key), F.coalesce("odd_share", F.lit(0.0)).alias("odd_share"))
 
 
 def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", odd_share: float = ODD_SHARE) -> DataFrame:
