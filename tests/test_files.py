@@ -75,7 +75,10 @@ def test_stream_keeps_the_latest(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
         query = records.keep_latest(spark.readStream.schema(schema).json(source), table, "k", "at", str(tmp_path / "check"))
         assert query.awaitTermination(120)
-    assert rows(records.current(spark, table), "k", "v") == [("a", 3), ("c", 5)]
+    assert rows(records.current(spark, table, schema), "k", "v") == [("a", 3), ("c", 5)]
+    # The second batch wrote only the parts that its keys lie in.
+    assert len(list((tmp_path / "table" / "version=000000000001").glob("bucket=*"))) <= 3
+    assert records.current(spark, str(tmp_path / "none"), schema).count() == 0
     both = spark.createDataFrame(first + second, schema)
     assert rows(records.latest(both, "k", "at"), "k", "v") == [("a", 3), ("c", 5)]
 

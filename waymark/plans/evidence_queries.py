@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import web
 from ..operators import contains, evidence, quality, rank, spatial
 from ..sources.tables import load
-from . import views
+from . import settings, views
 from .registry import Registry
 
 query = Registry()
@@ -54,11 +54,11 @@ def occurrence_rule(spark, folder):
     return docs.filter(evidence.occurs(F.col("t"), F.col("name"), F.col("name"), F.col("t").rlike("整備|通行"))).select("doc_id", "name")
 
 
-@query(r"WITH d AS (SELECT doc_id, text, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE url IS NOT NULL AND text IS NOT NULL) SELECT doc_id FROM d WHERE NOT regexp_matches(h, '-(bbs|board)\.') AND contains(text, '林道') AND (n = 1 OR regexp_matches(text, '[市町村]の'))")
+@query(r"WITH d AS (SELECT doc_id, text, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE url IS NOT NULL AND text IS NOT NULL) SELECT doc_id FROM d WHERE NOT regexp_matches(h, '" + settings.BOARD_HOSTS + r"') AND contains(text, '林道') AND (n = 1 OR regexp_matches(text, '[市町村]の'))")
 def hit_acceptance(spark, folder):
     docs = load(spark, folder, "documents").filter("url IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", web.host(F.col("url")).alias("h")).withColumn("digest", F.sha2("text", 256))
     copies = docs.groupBy("digest").agg(F.count("*").alias("n"))
-    kept = docs.filter(~F.col("h").rlike(r"-(bbs|board)\.") & F.contains("text", F.lit("林道"))).join(copies, "digest")
+    kept = docs.filter(~F.col("h").rlike(settings.BOARD_HOSTS) & F.contains("text", F.lit("林道"))).join(copies, "digest")
     return kept.filter((F.col("n") == 1) | F.col("text").rlike("[市町村]の")).select("doc_id")
 
 
@@ -87,10 +87,10 @@ def reason_text(spark, folder):
     return views.cand(spark, folder).select("id", evidence.sentences(F.when(F.col("bal") > 5000, F.lit("残高あり")), F.when(F.col("seg") == "BUILDING", F.lit("建設"))).alias("reason"))
 
 
-@query("SELECT DISTINCT m AS municipality FROM (SELECT unnest(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+')) AS m FROM nagano_current_plan p WHERE EXISTS (SELECT 1 FROM mvp_map_data d WHERE d.name = p.林道名)) WHERE m <> '' AND m <> '霧嶺市'")
+@query("SELECT DISTINCT m AS municipality FROM (SELECT unnest(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+')) AS m FROM nagano_current_plan p WHERE EXISTS (SELECT 1 FROM mvp_map_data d WHERE d.name = p.林道名)) WHERE m <> '' AND m NOT IN (" + settings.quoted(settings.KNOWN_PLACES) + ")")
 def worklist(spark, folder):
     matched = load(spark, folder, "nagano_current_plan").select(F.col("林道名").alias("name"), F.col("関係市町村").alias("m")).join(load(spark, folder, "mvp_map_data").select("name").distinct(), "name", "left_semi")
-    return matched.select(F.explode(F.split("m", r"[・／/,、 |\n]+")).alias("municipality")).filter("municipality <> '' AND municipality <> '霧嶺市'").distinct()
+    return matched.select(F.explode(F.split("m", r"[・／/,、 |\n]+")).alias("municipality")).filter((F.col("municipality") != "") & ~F.col("municipality").isin(*settings.KNOWN_PLACES)).distinct()
 
 
 @query(views.sql("cand") + """ SELECT id, n, first_price, concat_ws('/', region, seg) AS label FROM cand LEFT JOIN (SELECT o_custkey AS cid, count(*) AS n, min(o_totalprice) AS first_price FROM orders GROUP BY 1) USING (cid)""")

@@ -9,7 +9,7 @@ from ..functions.geo import great_circle_m
 from ..functions.text import NARROW_ASCII, OTHER_BLANKS, WIDE_ASCII
 from ..operators import contains
 from ..sources.tables import load
-from . import views
+from . import settings, views
 from .registry import Registry
 
 query = Registry()
@@ -50,9 +50,9 @@ def strict_candidate(spark, folder):
 _HOST = r"lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches({_HOST.format('url')}, '(-town|-archive)\\.example$|^(www\\.)?(mori|tani)-') THEN 'official' ELSE 'public-web' END AS cls FROM documents WHERE url IS NOT NULL")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches({_HOST.format('url')}, '{settings.OFFICIAL_HOSTS}') THEN 'official' ELSE 'public-web' END AS cls FROM documents WHERE url IS NOT NULL")
 def url_class(spark, folder):
-    official = web.host(F.col("url")).rlike(r"(-town|-archive)\.example$|^(www\.)?(mori|tani)-")
+    official = web.host(F.col("url")).rlike(settings.OFFICIAL_HOSTS)
     return load(spark, folder, "documents").filter("url IS NOT NULL").select("doc_id", F.when(official, "official").otherwise("public-web").alias("cls"))
 
 
@@ -172,16 +172,17 @@ def signal_case(spark, folder):
     return views.road(spark, folder).select("id", signal.alias("signal"), F.concat_ws(", ", F.when(large, "size"), F.when(steel, "type")).alias("detail"))
 
 
-_EAST, _NORTH, _CENTRAL = ("柏霧", "桂雲", "鶴霜"), ("霧嶺", "朱岳", "藍沼"), ("樺見", "月杉", "雁原")
+_REGION_SQL = " ".join(f"WHEN list_has_any(s, [{settings.quoted(places)}]) THEN '{region}'" for region, places in settings.REGIONS.items())
 
 
-@query("SELECT plan_row, CASE WHEN 関係市町村 IS NULL OR trim(関係市町村) = '' THEN '未分類' WHEN list_has_any(s, ['柏霧', '桂雲', '鶴霜']) THEN '東信' WHEN list_has_any(s, ['霧嶺', '朱岳', '藍沼']) THEN '北信' WHEN list_has_any(s, ['樺見', '月杉', '雁原']) THEN '中信' ELSE '南信' END AS region FROM (SELECT plan_row, 関係市町村, list_transform(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+'), lambda x: regexp_replace(x, '[市町村]$', '')) AS s FROM nagano_current_plan)")
+@query(f"SELECT plan_row, CASE WHEN 関係市町村 IS NULL OR trim(関係市町村) = '' THEN '{settings.NO_REGION}' {_REGION_SQL} ELSE '{settings.OTHER_REGION}' END AS region FROM (SELECT plan_row, 関係市町村, list_transform(regexp_split_to_array(関係市町村, '[・／/,、 |\\n]+'), lambda x: regexp_replace(x, '[市町村]$', '')) AS s FROM nagano_current_plan)")
 def region_overlap(spark, folder):
     cell = F.col("関係市町村")
     keys = F.transform(F.split(cell, r"[・／/,、 |\n]+"), lambda x: F.regexp_replace(x, "[市町村]$", ""))
-    among = lambda region: F.arrays_overlap("s", F.array(*map(F.lit, region)))
-    region = F.when(F.col("plain").isNull() | (F.trim("plain") == ""), "未分類").when(among(_EAST), "東信").when(among(_NORTH), "北信").when(among(_CENTRAL), "中信").otherwise("南信")
-    return load(spark, folder, "nagano_current_plan").select("plan_row", cell.alias("plain"), keys.alias("s")).select("plan_row", region.alias("region"))
+    region = F.when(F.col("plain").isNull() | (F.trim("plain") == ""), settings.NO_REGION)
+    for name, places in settings.REGIONS.items():
+        region = region.when(F.arrays_overlap("s", F.array(*map(F.lit, places))), name)
+    return load(spark, folder, "nagano_current_plan").select("plan_row", cell.alias("plain"), keys.alias("s")).select("plan_row", region.otherwise(settings.OTHER_REGION).alias("region"))
 
 
 @query(views.sql("road") + " SELECT id, CASE WHEN lat >= 36.5 THEN '北信' WHEN lon >= 138.3 THEN '東信' WHEN lat >= 36.0 THEN '中信' ELSE '南信' END AS region FROM road")
