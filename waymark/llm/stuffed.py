@@ -252,14 +252,15 @@ def count_grams(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> None:
     """Add the n-grams of all orders, and their contexts, to ``table``."""
     grams, _, real = _grams(flat, sizes)
     for gram, context in _slots(grams[:, real]):
-        np.add.at(table, gram, 1)
-        np.add.at(table, context, 1)
+        table += np.bincount(gram, minlength=len(table))
+        table += np.bincount(context, minlength=len(table))
 
 
 def _own_counts(owner: np.ndarray, counted: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """For each token how often the tokens of the same text that were ``counted`` have its slot."""
     key = (owner << SLOT_BITS) | slot
-    order = np.argsort(key)
+    # Shorter keys are sorted faster; the order of equal ones doesn't matter.
+    order = np.argsort(key.astype(np.int32) if len(owner) and owner[-1] < 1 << (31 - SLOT_BITS) else key)
     key = key[order]
     first = np.ones(len(key), dtype=bool)
     first[1:] = key[1:] != key[:-1]
