@@ -23,9 +23,9 @@ import string
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -180,21 +180,26 @@ def record_columns(layout: Layout) -> tuple[Column, Column, Column]:
     return texts, trees, F.struct(root.alias("root"), tree.alias("tree"))
 
 
-def record_trees(df: DataFrame, layout: Layout, columns: tuple[Column, Column, Column] | None = None) -> DataFrame:
+@lru_cache(maxsize=8)
+def _columns_of(layout: Layout, session: SparkSession) -> tuple[Column, Column, Column]:
+    """``record_columns``, built once per session: thousands of calls to the JVM."""
+    return record_columns(layout)
+
+
+def record_trees(df: DataFrame, layout: Layout) -> DataFrame:
     """``(row, root, tree)`` of each record: the digest of its columns' digests, and its written structure."""
-    texts, trees, record = columns or record_columns(layout)
+    texts, trees, record = _columns_of(layout, df.sparkSession)
     wide = df.select(F.col(layout.row).alias("row"), texts.alias("texts")).select("row", trees.alias("trees"))
     return wide.select("row", record.alias("r")).select("row", "r.root", "r.tree")
 
 
 def repeated_groups(df: DataFrame, layout: Layout) -> DataFrame:
     """``(row, first)`` of the records that have copies."""
-    columns = record_columns(layout)
-    roots = cut_lineage(record_trees(df, layout, columns).select("row", "root"))
+    roots = cut_lineage(record_trees(df, layout).select("row", "root"))
     shared = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     # Only the records whose root occurs again are written out and compared.
     rows = join_to_lookup(roots, shared, "root").select(F.col("row").alias(layout.row)).distinct()
-    again = cut_lineage(record_trees(df.join(rows, layout.row, "left_semi"), layout, columns))
+    again = cut_lineage(record_trees(df.join(rows, layout.row, "left_semi"), layout))
     groups = again.groupBy("root", "tree").agg(F.min("row").alias("first"))
     per_root = groups.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("kinds"))
     marked = join_to_lookup(again.select("row", "root"), per_root.filter("kinds = 1").select("root", "first"), "root").select("row", "first")
