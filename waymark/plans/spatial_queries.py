@@ -132,7 +132,11 @@ def stitched_rings(spark, folder):
     return rings.select("polygon", F.size("points").alias("n_points"), F.round(area * 1e6).cast("long").alias("area"))
 
 
-@query()
+_PICK = "CASE WHEN NOT list_contains(w.taken, o.c) THEN o.c WHEN NOT list_contains(w.taken, o.c + 1) THEN o.c + 1 END"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS rn, o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderstatus = 'P'),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pick UNION ALL SELECT o.rn, list_append(w.taken, CAST({_PICK} AS BIGINT)), o.k, CAST({_PICK} AS BIGINT) FROM w JOIN o ON o.rn = w.rn + 1) SELECT k AS new, pick AS old FROM w WHERE pick IS NOT NULL""")
 def greedy_assign(spark, folder):
     # Each order claims the candidates of its customer's neighbourhood; earlier orders go first.
     orders = load(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("new"), F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1)).alias("old"), F.col("o_orderkey").alias("order"))
