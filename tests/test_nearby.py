@@ -55,3 +55,13 @@ def test_boxes(spark, limit):
 def test_entrance_points(spark):
     df = spark.createDataFrame([(1, [None, {"lat": 36.0, "lon": 138.0}, {"lat": None, "lon": 1.0}]), (2, None), (3, [])], "record_no long, entrances array<struct<lat: double, lon: double>>")
     assert rows(nearby.entrance_points(df)) == [(1, 2, 36.0, 138.0)]
+
+
+def test_bands_and_boxes_by_grid_or_broadcast(spark):
+    points = spark.createDataFrame([(k, 20.0 + k * 0.7, 120.0 + k * 0.8) for k in range(40)] + [(99, 60.0, 130.0), (98, None, 130.0)], "p int, lat double, lon double")
+    boxes = spark.createDataFrame([("world", -90.0, -180.0, 90.0, 180.0), ("band", 30.0, 125.0, 31.0, 126.0), ("line", 20.7, 120.0, 20.7, 121.0), ("turned", 31.0, 120.0, 30.0, 121.0), ("none", None, 1.0, 2.0, 3.0)], "b string, south double, west double, north double, east double")
+    few, many = (rows(nearby.bands_around(points, boxes, limit), "p", "b") for limit in (10, 0))
+    assert few == many
+    assert (15, "band") in few
+    assert sum(b == "world" for _, b in few) == 40
+    assert rows(nearby.boxes_around(points, boxes, 10), "p", "b") == rows(nearby.boxes_around(points, boxes, 0), "p", "b")
