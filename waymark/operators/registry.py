@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import is_place
 from ..session import cut_lineage
-from . import assign, graph, rank
-from .nearby import near_places
+from . import assign, graph, links, rank
 
 
 @dataclass(frozen=True)
@@ -21,25 +21,21 @@ class Rules:
 
 
 def way_edges(ways: DataFrame, join_m: float) -> DataFrame:
-    """Edges ``(a, b)`` between ways of one name that share a node or have ends within ``join_m``.
+    """Edges ``(a, b)`` that put ways of one name together which share a node or have ends within ``join_m``.
 
-    ``ways`` has ``way, name, nodes`` and ``ends`` (array of lat, lon). Ways at one place are joined to the first of them, and places to
-    places, so a place that holds a third of all ways forms no pairs.
+    ``ways`` has ``way, name, nodes`` and ``ends`` (array of lat, lon). Components are those of all such pairs, but there are only a few
+    edges a way: a node, place or region that holds a third of all ways forms no pairs.
     """
     shared = graph.shared_edges(ways.select(F.col("way").alias("v"), "name", F.explode("nodes").alias("node")), "name", "node")
-    at = cut_lineage(ways.select(F.col("way").alias("v"), "name", F.explode("ends").alias("p")).select("v", "name", "p.lat", "p.lon").distinct())
-    together = graph.shared_edges(at, "name", "lat", "lon")
-    first = at.groupBy("name", "lat", "lon").agg(F.min("v").alias("v"))
-    near = near_places(at.select("lat", "lon"), at.select("lat", "lon"), join_m).select("lat", "lon", "lat2", "lon2")
-    other = first.select("name", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("v").alias("b"))
-    close = first.withColumnRenamed("v", "a").join(near, ["lat", "lon"]).join(other, ["name", "lat2", "lon2"]).filter("a <> b").select("a", "b")
-    return shared.unionByName(together).unionByName(close)
+    at = ways.select(F.col("way").alias("v"), "name", F.explode("ends").alias("p")).select("v", "name", "p.lat", "p.lon")
+    # Ends that are no places are near nothing, but those at the same coordinates are still one end.
+    together = graph.shared_edges(at.filter(~is_place(F.col("lat"), F.col("lon"))), "name", "lat", "lon")
+    return shared.unionByName(together).unionByName(links.near_edges(at, "name", join_m))
 
 
-def routes(ways: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """``(component, name, n, lat_e6, lon_e6)``: ways of one name put together, with the centre of their ends."""
-    found = cut_lineage(graph.components(ways.select(F.col("way").alias("v")), way_edges(ways, rules.join_m)))
-    rows = ways.join(found.withColumnRenamed("v", "way"), "way")
+def routes(ways: DataFrame, members: DataFrame) -> DataFrame:
+    """``(component, name, n, lat_e6, lon_e6)``: ways put together by ``members`` (way, component), with the centre of their ends."""
+    rows = ways.join(members, "way")
     names = rank.mode_first(rows, ["component"], "name", "way").select("component", "name")
     micro = lambda c: F.floor(F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count("*")).alias(c + "_e6")
     centres = rows.select("component", F.explode("ends").alias("p")).select("component", "p.lat", "p.lon").groupBy("component").agg(micro("lat"), micro("lon"))
@@ -64,10 +60,10 @@ def merged(ways: DataFrame, known: DataFrame, strict: Column, rules: Rules = Rul
 
     ``origin`` is ``matched``, ``new`` or ``unmatched``; known IDs stay, new ones go on after the highest number.
     """
-    ways = cut_lineage(ways.filter(strict))
+    ways = cut_lineage(ways.filter(strict).select("way", "name", "nodes", "ends"))
     found = cut_lineage(graph.components(ways.select(F.col("way").alias("v")), way_edges(ways, rules.join_m)))
     members = found.withColumnRenamed("v", "way")
-    rows = cut_lineage(routes(ways, rules))
+    rows = cut_lineage(routes(ways, members))
     matched = cut_lineage(kept_ids(rows, ways, members, known))
     highest = known.agg(F.max(F.split_part("id", F.lit("-"), F.lit(2)).try_cast("long"))).first()[0] or 0
     fresh = rank.minted(rows.join(matched, "component", "left_anti"), highest, rules.prefix, F.col("name"), F.col("lat_e6"), F.col("lon_e6"), F.col("component"))
