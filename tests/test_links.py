@@ -86,3 +86,30 @@ def test_dense_ways_form_few_edges(spark):
     edges = registry.way_edges(ways, 5000.0)
     assert edges.count() <= 1500
     assert {c for _, c in rows(graph.components(ways.selectExpr("way AS v"), edges))} == {0}
+
+
+def test_neighbours_each_once_from_few_copies(spark):
+    rnd = random.Random(9)
+    at = sorted({(rnd.choice("gh"), rnd.randrange(-20, 20), rnd.randrange(-20, 20)) for _ in range(500)})
+    cells = spark.createDataFrame(at, "g string, cy long, cx long")
+    got = rows(links._neighbours(cells, 2, 3).select("a.g", "a.cy", "a.cx", "b.g", "b.cy", "b.cx"))
+    assert got == sorted(((*p, *q) for p in at for q in at if p[0] == q[0] and 0 <= q[1] - p[1] <= 2 and abs(q[2] - p[2]) <= 3 and (q[1:] > p[1:])), key=repr)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_shuffled_or_broadcast_and_labelled(spark, monkeypatch, few):
+    monkeypatch.setattr(links, "FEW_CELLS", few)
+    monkeypatch.setattr(graph, "FEW_GROUPS", few)
+    rnd = random.Random(11)
+    ends = lambda: [(35 + rnd.random(), 138 + rnd.random()) if rnd.random() < 0.8 else (0.0, float(rnd.randrange(3))) for _ in range(rnd.randrange(4))]
+    ways = [(k, rnd.choice(["a", "b", None]), [str(rnd.randrange(60))], ends()) for k in range(150)]
+    df = spark.createDataFrame(ways, "way long, name string, nodes array<string>, ends array<struct<lat: double, lon: double>>")
+    got = rows(registry.way_components(df, 5000.0), "way", "component")
+    assert got == rows(graph.components(df.selectExpr("way AS v"), registry.way_edges(df, 5000.0)), "v", "component")
+    parent = {w[0]: w[0] for w in ways}
+    for _ in ways:
+        for x in ways:
+            for y in ways:
+                if x[1] and x[1] == y[1] and parent[x[0]] > parent[y[0]] and (set(x[2]) & set(y[2]) or any(p == q or is_place(p) and is_place(q) and metres(p, q) <= 5000 for p in x[3] for q in y[3])):
+                    parent[x[0]] = parent[y[0]]
+    assert got == sorted(parent.items(), key=repr)

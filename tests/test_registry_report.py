@@ -13,6 +13,13 @@ from waymark.plans import job_queries
 ROADS = 3000
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session has written for shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
 @pytest.fixture
 def dense(spark, tmp_path) -> str:
     part = spark.range(ROADS).select(F.col("id").alias("p_partkey"), F.lit("road").alias("p_name"), F.lit("type").alias("p_type"), F.lit("Brand#1").alias("p_brand"), (F.col("id") % 10).cast("int").alias("p_size"))
@@ -36,3 +43,9 @@ def test_few_edges_and_all_ways(spark, dense):
     assert got["matched"]["n"] + got["unmatched"]["n"] == ROADS // 5 + 3
     job = waymark.queries()["q_registry_job"](spark, dense).groupBy("origin").agg(F.count("*").alias("n"), F.sum("n_ways").alias("n_ways"))
     assert rows(job) == sorted((tuple(r) for r in got.values()), key=repr)
+
+
+def test_little_is_shuffled(spark, dense):
+    before = shuffled(spark)
+    assert waymark.queries()["q_registry_report"](spark, dense).count() >= 2
+    assert shuffled(spark) - before <= 300 * ROADS

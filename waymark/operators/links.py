@@ -21,6 +21,10 @@ from .graph import components
 MOST_PAIRS = 20_000_000
 #: Cells aren't split further than this, to 2^-20 of the first side; what is left is tested one by one.
 LAST_LEVEL = 20
+#: Neighbours are looked for in blocks of 2^3 by 2^3 cells and the cells around them.
+BLOCK_BITS = 3
+#: Up to so many cells are broadcast to the places (some 10 MB), with more both are shuffled.
+FEW_CELLS = 100_000
 
 
 def near_edges(members: DataFrame, group: str, radius_m: float, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -28,22 +32,36 @@ def near_edges(members: DataFrame, group: str, radius_m: float, most_pairs: int
 
     ``members`` has ``v``, ``group``, ``lat`` and ``lon``, with several rows per ``v``; rows that are no places give no edge.
     """
+    labels, edges = near_labels(members, group, radius_m, most_pairs)
+    return labels.filter("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(edges)
+
+
+def near_labels(members: DataFrame, group: str, radius_m: float, most_pairs: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``near_edges`` in two parts: ``(v, c)``, of each ``v`` with a place one smaller or equal ``v`` that it belongs
+    to, and edges ``(a, b)`` between these ``c`` only, of which there are few.
+    """
     side_lat, side_lon, reach_y, reach_x = _grid(radius_m)
-    at = members.filter(is_place(F.col("lat"), F.col("lon"))).select("v", F.col(group).alias("g"), "lat", "lon")
+    at = members.filter(is_place(F.col("lat"), F.col("lon")) & F.col(group).isNotNull()).select("v", F.col(group).alias("g"), "lat", "lon")
     cell = lambda level: {"cy": _cell("lat", side_lat, level), "cx": _cell("lon", side_lon, level)}
     cells = cut_lineage(_boxes(at.withColumns(cell(0)), F.min(F.struct("v", "lat", "lon"))))
     cells = cells.withColumn("v", F.col("w.v"))
-    linked = _neighbours(cells, reach_y, reach_x).filter(_witnesses_near(radius_m)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    seen = cells.select("g", "cy", "cx", "v", F.struct("w.lat", "w.lon").alias("w"))
+    linked = _neighbours(seen, reach_y, reach_x).filter(_witnesses_near(radius_m)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
     found = components(cells.select("v"), linked).withColumnsRenamed({"v": "__v", "component": "c"})
-    cells = cut_lineage(cells.join(found, F.col("v") == F.col("__v")).drop("__v"))
-    inside = at.withColumns(cell(0)).join(cells.select("g", "cy", "cx", "c"), ["g", "cy", "cx"])
-    edges = inside.filter("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b")).distinct()
+    cells = cut_lineage(cells.join(found, F.col("v") == F.col("__v")).select("g", "cy", "cx", "south", "north", "west", "east", "c"))
+    named = cells.select("g", "cy", "cx", "c")
+    inside = at.withColumns(cell(0)).join(F.broadcast(named) if cells.count() <= FEW_CELLS else named, ["g", "cy", "cx"])
+    labelled = cut_lineage(inside.groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("cs")))
+    labels = labelled.select("v", F.get("cs", F.lit(0)).alias("c"))
+    edges = labelled.filter(F.size("cs") > 1).select(F.explode("cs").alias("a"), F.get("cs", F.lit(0)).alias("b")).filter("a <> b").distinct()
+    if cells.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("top")).filter("low < top").isEmpty():
+        return labels, edges
 
     # Between components: (g, ay, ax, by, bx, ca, cb), cells of one level in which near places may lie.
     open_ = _neighbours(cells, reach_y, reach_x).filter("a.c <> b.c").filter(_boxes_near(radius_m) & ~_both_single())
     open_ = cut_lineage(open_.select("a.g", F.col("a.cy").alias("ay"), F.col("a.cx").alias("ax"), F.col("b.cy").alias("by"), F.col("b.cx").alias("bx"), F.col("a.c").alias("ca"), F.col("b.c").alias("cb")))
     if open_.isEmpty():
-        return edges
+        return labels, edges
     touched = open_.select("g", F.col("ay").alias("cy"), F.col("ax").alias("cx")).unionByName(open_.select("g", F.col("by").alias("cy"), F.col("bx").alias("cx"))).distinct()
     points = cut_lineage(at.withColumns(cell(0)).join(touched, ["g", "cy", "cx"], "left_semi").select("g", "lat", "lon").distinct())
     sides = lambda rows, end: rows.select(F.col("g"), F.col("cy").alias(f"{end}y"), F.col("cx").alias(f"{end}x"), F.struct(*[c for c in rows.columns if c not in ("g", "cy", "cx")]).alias(end))
@@ -54,7 +72,7 @@ def near_edges(members: DataFrame, group: str, radius_m: float, most_pairs: int
         tests = both(open_, placed.groupBy("g", "cy", "cx").agg(F.count("*").alias("n"))).agg(F.sum(F.col("a.n").cast("double") * F.col("b.n"))).first()[0] or 0
         if tests <= most_pairs or level == LAST_LEVEL:
             near = both(open_, placed).filter(great_circle_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= radius_m)
-            return edges.unionByName(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            return labels, edges.unionByName(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         level += 1
         quarters = _boxes(points.withColumns(cell(level)), F.min(F.struct("lat", "lon")))
         # A quarter goes by the cell that it is part of until both sides are found.
@@ -88,14 +106,17 @@ def _boxes(placed: DataFrame, witness: Column) -> DataFrame:
 
 
 def _neighbours(cells: DataFrame, reach_y: int, reach_x: int) -> DataFrame:
-    """Pairs ``a, b`` of cells within reach, each pair once."""
-    steps = [(y, x) for y in range(reach_y + 1) for x in range(-reach_x, reach_x + 1) if (y, x) > (0, 0)]
-    moves = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in steps])
-    moved = cells.withColumn("__m", F.explode(moves))
-    keys = {"g": F.col("g"), "ty": F.col("cy") + F.col("__m.y"), "tx": F.col("cx") + F.col("__m.x")}
-    a = moved.select(*[e.alias(k) for k, e in keys.items()], F.struct(*cells.columns).alias("a"))
-    b = cells.select("g", F.col("cy").alias("ty"), F.col("cx").alias("tx"), F.struct(*cells.columns).alias("b"))
-    return a.join(b, ["g", "ty", "tx"]).select("a", "b")
+    """Pairs ``a, b`` of cells within reach, each pair once.
+
+    Cells are shuffled to their block and to the few blocks whose cells reach them, not once for each neighbour they may have.
+    """
+    block = lambda c, off=0: F.shiftright(F.col(c) + F.lit(off).cast("long"), BLOCK_BITS)
+    sent = cells.select("g", F.struct("*").alias("b"), "cx", F.explode(F.sequence(block("cy", -reach_y), block("cy"))).alias("__y"))
+    sent = sent.select("g", "__y", F.explode(F.sequence(block("cx", -reach_x), block("cx", reach_x))).alias("__x"), "b")
+    blocks = sent.groupBy("g", "__y", "__x").agg(F.collect_list("b").alias("bs"))
+    first = blocks.select("bs", "__y", "__x", F.explode("bs").alias("a")).filter((block("a.cy") == F.col("__y")) & (block("a.cx") == F.col("__x")))
+    step_y, step_x = F.col("b.cy") - F.col("a.cy"), F.col("b.cx") - F.col("a.cx")
+    return first.select("a", F.explode("bs").alias("b")).filter(step_y.between(0, reach_y) & step_x.between(-reach_x, reach_x) & ((step_y > 0) | (step_x > 0)))
 
 
 def _witnesses_near(radius_m: float) -> Column:

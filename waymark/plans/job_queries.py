@@ -23,22 +23,22 @@ def _ways(spark, folder):
     return roads.select(F.col("k").alias("way"), F.col("brand").alias("name"), nodes.alias("nodes"), F.array(end(0.0), end(0.001)).alias("ends"), "size")
 
 
-def _registry(spark, folder):
+def _scan(spark, folder):
     # Every fifth way is known already, every tenth of these without its way, beside IDs that no way has.
     k = F.col("p_partkey")
     known = load(spark, folder, "part").select(F.concat(F.lit("NGN-"), F.lpad((F.floor(k / 5)).cast("string"), 6, "0")).alias("id"), F.col("p_brand").alias("name"), F.when(k % 10 == 0, None).otherwise(k).alias("way"), k.alias("k")).filter("k % 5 = 0").drop("k")
     gone = load(spark, folder, "supplier").select(F.concat(F.lit("NGN-9"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("long").alias("way"))
-    return registry.merged(_ways(spark, folder), known.unionByName(gone), F.col("size") >= 5)
+    return _ways(spark, folder), known.unionByName(gone), F.col("size") >= 5
 
 
 @query()
 def registry_job(spark, folder):
-    return _registry(spark, folder)
+    return registry.merged(*_scan(spark, folder))
 
 
 @query()
 def registry_report(spark, folder):
-    return _registry(spark, folder).groupBy("origin").agg(F.count("*").alias("n"), F.sum("n_ways").alias("n_ways"))
+    return registry.report(*_scan(spark, folder))
 
 
 def _wide(column: str) -> str:
